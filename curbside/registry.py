@@ -36,7 +36,14 @@ SCOPE = Scope(
     season_from=datetime(1998, 1, 1),
     recovery_baseline_month=datetime(1996, 2, 1),
 )
-DIGITS = 8
+# Digits kept of doubles: finer than any exact decimal in the data, except where many
+# doubles are added up.
+DIGITS = 11
+FEWER = {
+    "total_topup": 4, "topup_per_trip": 4, "hhi": 6, "mean_tip": 10,
+    "med_gross_per_engaged_hour": 9, "gross_per_hour": 9, "med_gross_per_hr": 9,
+    "med_gross_per_hr_clean": 9, "gross_per_hr_delta": 9,
+}
 BOX = ((15.0, 40.0), (20.0, 60.0))
 FRAME_MONTH = datetime(2000, 6, 1)
 
@@ -87,11 +94,11 @@ def _archive(src: Source) -> str:
     return write_slim(stamped, f"{src.folder}/archive")
 
 
-def neat(df: DataFrame, **digits: int) -> DataFrame:
+def neat(df: DataFrame) -> DataFrame:
     """Round doubles, so that engines that add in different orders agree."""
     return df.select(
         *[
-            F.round(c, digits.get(c, DIGITS)).alias(c) if t == "double" else F.col(c)
+            F.round(c, FEWER.get(c, DIGITS)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )
@@ -101,16 +108,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(fn: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
-    QUERIES[fn.__name__] = lambda spark, sf_dir: neat(
-        fn(source(spark, sf_dir)), total_topup=4
-    )
+    QUERIES[fn.__name__] = lambda spark, sf_dir: neat(fn(source(spark, sf_dir)))
+    return fn
+
+
+def row_query(fn: Callable[[Source], DataFrame]) -> Callable[[Source], DataFrame]:
+    """A query without sums or averages: values are exact, so they are not rounded."""
+    QUERIES[fn.__name__] = lambda spark, sf_dir: fn(source(spark, sf_dir))
     return fn
 
 
 # --- scans, storage, ingest (S) ------------------------------------------------
 
 
-@query
+@row_query
 def s1_airport_trips(s: Source) -> DataFrame:
     """Scan, filter and derive: every column of every airport trip."""
     return s.trips
@@ -129,12 +140,12 @@ def s2_tolerant_projection(s: Source) -> DataFrame:
     )
 
 
-@query
+@row_query
 def s4_slim_slices(s: Source) -> DataFrame:
     return slim_for_storage(s.trips)
 
 
-@query
+@row_query
 def s5_restored_ratios(s: Source) -> DataFrame:
     """Slim, then recompute the five dropped money columns from 32-bit storage."""
     return add_ratios(slim_for_storage(s.trips).transform(_widen)).select(
@@ -148,13 +159,13 @@ def _widen(slices: DataFrame) -> DataFrame:
     return slices.withColumns({c: F.col(c).cast(wide[t]) for c, t in slices.dtypes if t in wide})
 
 
-@query
+@row_query
 def s7_archive(s: Source) -> DataFrame:
     """Write partitioned slices, read them all back with wide types and ratios."""
     return load_all(s.spark, s.archive)
 
 
-@query
+@row_query
 def s8_read_month(s: Source) -> DataFrame:
     return read_month(s.spark, s.archive, *SCOPE.sample_month)
 
@@ -252,7 +263,7 @@ def g6_market_share(s: Source) -> DataFrame:
 
 def _exported(name: str) -> None:
     QUERIES[f"s11_shared_scan_{name}"] = lambda spark, sf_dir: neat(
-        source(spark, sf_dir).study.tables[name], total_topup=4
+        source(spark, sf_dir).study.tables[name]
     )
 
 
@@ -318,7 +329,7 @@ def f4_clean_trips(s: Source) -> DataFrame:
     return clean.groupBy("platform", "airport", "direction").agg(F.count(F.lit(1)).alias("trips"))
 
 
-@query
+@row_query
 def f5_clean_pickups(s: Source) -> DataFrame:
     clean = quality.clean_trips(s.trips, s.study.live, SCOPE)
     return quality.clean_pickups(clean, s.study.airports, SCOPE).select(
@@ -426,7 +437,7 @@ def q11_funnel(s: Source) -> DataFrame:
     return quality.funnel(s.trips, s.study.live, s.study.airports, SCOPE)
 
 
-@query
+@row_query
 def q12_exploration_frame(s: Source) -> DataFrame:
     return quality.exploration_frame(quality.clean_trips(s.trips, s.study.live, SCOPE))
 
