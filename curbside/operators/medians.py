@@ -36,38 +36,54 @@ def grouped(
     aggregates: list[Column],
     medians: dict[str, Column],
     *,
-    largest_group: int | None = None,
+    sizes: DataFrame | None = None,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """``groupBy(keys)`` giving ``aggregates`` and the exact median of each row
     expression in ``medians``.
 
     Args:
-        largest_group: rows in the largest group where the caller already knows
-            it; otherwise it is counted here (a narrow scan of the keys).
+        sizes: keys and ``rows`` per group, where the caller has them already;
+            otherwise they are counted here (a narrow scan of the keys).
         group_rows: largest group that one task may hold.
     """
-    sizes = None
-    if largest_group is None:
-        sizes = df.groupBy(*keys).agg(row_count().alias("__n"))
-        largest_group = sizes.agg(F.max("__n")).first()[0] or 0
-    if largest_group <= group_rows:
+    if sizes is None:
+        sizes = df.groupBy(*keys).agg(row_count().alias("rows"))
+    largest = sizes.agg(F.max("rows")).first()[0] or 0
+    if largest <= group_rows:
         return _in_one_task(df, keys, aggregates, medians)
 
-    # Some groups are too large for one task. The size table has one row per
-    # group; its own row count decides whether it may be broadcast.
-    sizes = sizes or df.groupBy(*keys).agg(row_count().alias("__n"))
-    sizes = settled(sizes)
-    n_groups = sizes.count()
-    small = sizes.where(F.col("__n") <= group_rows)
-    large = sizes.where(F.col("__n") > group_rows)
-    parts = [_ranked(_only(df, large, keys, n_groups), keys, medians, group_rows)]
+    # Some groups are too large for one task. One pass gives all ordinary aggregates
+    # and each measure's count and ends; the result has one row per group, and its
+    # own row count decides whether it may be broadcast.
+    held = {f"__v{i}": c.cast("double") for i, c in enumerate(medians.values())}
+    rows = df.withColumns(held)
+    ends = [
+        e
+        for v in held
+        for e in (
+            F.count(v).alias(f"{v}_n"),
+            F.min(v).alias(f"{v}_lo"),
+            F.max(v).alias(f"{v}_hi"),
+        )
+    ]
+    groups = settled(
+        rows.groupBy(*keys).agg(*aggregates, row_count().alias("__rows"), *ends)
+    )
+    n_groups = groups.count()
+    large = groups.where(F.col("__rows") > group_rows)
+    small = groups.where(F.col("__rows") <= group_rows)
+    found = _ranked(rows, keys, large, list(medians), group_rows, n_groups)
     if not small.isEmpty():
-        parts.append(_in_one_task(_only(df, small, keys, n_groups), keys, [], medians))
-    middle = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    if not aggregates:
-        return middle
-    return join_groups(df.groupBy(*keys).agg(*aggregates), middle, keys, n_groups)
+        few = join_groups(df, small.select(*keys), keys, n_groups)
+        found = found.unionByName(_in_one_task(few, keys, [], medians))
+    result = join_groups(groups, found, keys, n_groups) if keys else _side_by_side(groups, found)
+    return result.drop("__rows", *[f"{v}_{e}" for v in held for e in ("n", "lo", "hi")])
+
+
+def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two one-row frames as one row."""
+    return one.withColumns({c: other.select(c).scalar() for c in other.columns})
 
 
 def _in_one_task(
@@ -96,58 +112,53 @@ def _middle(ordered: Column) -> Column:
     return 0.5 * at((n - 1) / 2) + 0.5 * at(n / 2)
 
 
-def _only(df: DataFrame, groups: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
-    return join_groups(df, groups.select(*keys), keys, n_groups) if keys else df
-
-
 def _ranked(
-    df: DataFrame, keys: list[str], medians: dict[str, Column], group_rows: int
+    rows: DataFrame,
+    keys: list[str],
+    groups: DataFrame,
+    names: list[str],
+    group_rows: int,
+    n_groups: int,
 ) -> DataFrame:
     """Medians of large groups by narrowing value ranges (see module text)."""
-    names = list(medians)
-    values = df.select(
+    held = [f"__v{i}" for i in range(len(names))]
+    by = [*keys, "__m"]
+    # One row per group and measure. `below` counts the values under `lo`.
+    ranges = groups.select(
         *keys,
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(i).alias("__m"), c.cast("double").alias("__v"))
-                    for i, c in enumerate(medians.values())
+                    F.struct(
+                        F.lit(i).alias("__m"),
+                        F.col(f"{v}_n").alias("n"),
+                        F.col(f"{v}_lo").alias("lo"),
+                        F.col(f"{v}_hi").alias("hi"),
+                        F.lit(0).cast("bigint").alias("below"),
+                        F.col(f"{v}_n").alias("inside"),
+                        F.when(F.col(f"{v}_lo") == F.col(f"{v}_hi"), F.col(f"{v}_lo")).alias(
+                            "answer"
+                        ),
+                    )
+                    for i, v in enumerate(held)
                 ]
             )
         ),
     )
-    by = [*keys, "__m"]
-    known = values.where(F.col("__v").isNotNull())
-    # One row per group and measure. `below` counts values under `lo`; the middle
-    # ranks are k1 and k2 (equal for an odd count). All-null measures keep n = 0.
-    ranges = settled(
-        values.groupBy(*by)
-        .agg(
-            F.count("__v").alias("n"),
-            F.min("__v").alias("lo"),
-            F.max("__v").alias("hi"),
-        )
-        .withColumns(
-            {
-                "below": F.lit(0).cast("bigint"),
-                "inside": F.col("n"),
-                "answer": F.when(F.col("lo") == F.col("hi"), F.col("lo")),
-            }
-        )
-    )
-    n_ranges = ranges.count()
+    values = rows.select(*keys, F.array(*held).alias("__values"))
     while True:
         wide = (F.col("inside") > group_rows) & F.col("answer").isNull()
         todo = ranges.where(wide)
         if todo.isEmpty():
             break
-        narrowed = _narrow(_within(known, todo, by, n_ranges), by)
+        narrowed = _narrow(_within(values, todo, keys, n_groups), by)
         ranges = settled(ranges.where(~wide).unionByName(narrowed))
-    rest = ranges.where(F.col("answer").isNull() & (F.col("n") > 0))
-    exact = ranges.where(F.col("answer").isNotNull() | (F.col("n") == 0))
-    found = exact.select(*by, "answer").unionByName(
-        _pick(_within(known, rest, by, n_ranges), by)
-    )
+    # A measure that is null on every row of a group has n = 0 and no median.
+    rest = F.col("answer").isNull() & (F.col("n") > 0)
+    found = ranges.where(~rest).select(*by, "answer")
+    if not ranges.where(rest).isEmpty():
+        picked = _pick(_within(values, ranges.where(rest), keys, n_groups), by)
+        found = found.unionByName(picked)
     return (
         found.groupBy(*keys)
         .pivot("__m", list(range(len(names))))
@@ -156,10 +167,24 @@ def _ranked(
     )
 
 
-def _within(known: DataFrame, ranges: DataFrame, by: list[str], n_ranges: int) -> DataFrame:
-    ends = ranges.select(*by, "n", "lo", "hi", "below")
-    return join_groups(known, ends, by, n_ranges).where(
-        F.col("__v").between(F.col("lo"), F.col("hi"))
+def _within(values: DataFrame, ranges: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+    """The values that fall into their group's open ranges, one row per value.
+
+    The ranges of a group travel as one array (one entry per open measure), so each
+    row is probed once and only open measures are emitted.
+    """
+    ends = F.struct("__m", "n", "lo", "hi", "below")
+    todo = ranges.groupBy(*keys).agg(F.collect_list(ends).alias("__todo"))
+    listed = (
+        join_groups(values, todo, keys, n_groups)
+        if keys
+        else values.withColumn("__todo", todo.scalar())
+    )
+    return (
+        listed.select(*keys, "__values", F.inline("__todo"))
+        .withColumn("__v", F.get("__values", F.col("__m")))
+        .where(F.col("__v").between(F.col("lo"), F.col("hi")))
+        .drop("__values")
     )
 
 

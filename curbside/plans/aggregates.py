@@ -122,7 +122,7 @@ def hourly_profile(
     direction: str = "pickup",
     valid_only: bool = True,
     *,
-    largest_group: int | None = None,
+    sizes: DataFrame | None = None,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """Trips and economics by airport, platform and hour of day."""
@@ -135,7 +135,7 @@ def hourly_profile(
             rate("has_on_scene").alias("curb_wait_coverage"),
         ],
         _columns(HOURLY_MEDIANS),
-        largest_group=largest_group,
+        sizes=sizes,
         group_rows=group_rows,
     )
     return with_share(hours, "trips", ["airport", "platform"], "share_of_day").select(
@@ -242,14 +242,19 @@ def quality_from_cube(cube: DataFrame) -> DataFrame:
     )
 
 
-def cell_panel(trips: DataFrame, largest_group: int | None, group_rows: int) -> DataFrame:
+def _sizes(cube: DataFrame, keys: list[str]) -> DataFrame:
+    """Valid trips per group, from the cube instead of another scan."""
+    return cube.groupBy(*keys).agg(F.sum("n_valid").alias("rows"))
+
+
+def cell_panel(trips: DataFrame, sizes: DataFrame | None, group_rows: int) -> DataFrame:
     """KPIs and incentive measures share their key and filter: one group-by."""
     return grouped(
         _with_month(_scoped(trips, True)),
         CELL,
         [*_kpi_aggregates(), *_incentive_aggregates()],
         {**_columns(KPI_MEDIANS), **_incentive_medians()},
-        largest_group=largest_group,
+        sizes=sizes,
         group_rows=group_rows,
     )
 
@@ -265,18 +270,14 @@ def all_tables(
     the count cube and the cell panel pass through it, both aggregate-sized.
     """
     cube = keep(count_cube(trips))
-    valid_by = lambda *keys: cube.groupBy(*keys).agg(F.sum("n_valid").alias("k"))
-    largest_cell, largest_hour = (
-        valid_by(*CELL).agg(F.max("k")).first()[0] or 0,
-        valid_by("airport", "platform", "hour").agg(F.max("k")).first()[0] or 0,
+    panel = keep(cell_panel(trips, _sizes(cube, CELL), group_rows))
+    hours = _sizes(
+        cube.where(F.col("direction") == "pickup"), ["airport", "platform", "hour"]
     )
-    panel = keep(cell_panel(trips, largest_cell, group_rows))
     return {
         "monthly_kpis": panel.select(*KPI_COLUMNS),
         "market_share": share_from_cube(cube),
-        "hourly_profile": hourly_profile(
-            trips, largest_group=largest_hour, group_rows=group_rows
-        ),
+        "hourly_profile": hourly_profile(trips, sizes=hours, group_rows=group_rows),
         "incentive_breakdown": _incentive_table(panel),
         "coverage_timeline": coverage_from_cube(cube),
         "data_quality": quality_from_cube(cube),

@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
+from curbside.operators.bounded import settled
 from curbside.operators.medians import GROUP_ROWS
 from curbside.plans import aggregates, economics, market, scoping
 from curbside.scope import AGGREGATE_TABLES, DEFAULT_SCOPE, Scope
@@ -24,8 +25,8 @@ def export_aggregates(
 class Study:
     """Lazily wires aggregate tables to the derived scope lists.
 
-    Everything is a DataFrame except ``platform_names`` and friends, which become
-    column names.
+    The scope lists are derived once and settled, as nearly every analysis joins
+    them. Everything is a DataFrame except the name lists, which become columns.
     """
 
     def __init__(self, spark: SparkSession, base: str, scope: Scope = DEFAULT_SCOPE):
@@ -44,15 +45,15 @@ class Study:
 
     @cached_property
     def census(self) -> DataFrame:
-        return scoping.platform_census(self.coverage)
+        return settled(scoping.platform_census(self.coverage))
 
     @cached_property
     def live(self) -> DataFrame:
-        return scoping.active_platforms(self.coverage, scope=self.scope)
+        return settled(scoping.active_platforms(self.coverage, scope=self.scope))
 
     @cached_property
     def airports(self) -> DataFrame:
-        return scoping.dispatch_airports(self.kpis, scope=self.scope)
+        return settled(scoping.dispatch_airports(self.kpis, scope=self.scope))
 
     @cached_property
     def pickups(self) -> DataFrame:
