@@ -7,6 +7,8 @@ date. Both are independent of the session time zone.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,12 @@ FIRST_YEAR = 2019
 LAST_YEAR = 2100
 
 
+def naive(moment: datetime) -> Column:
+    """A naive timestamp literal. Through text, as a datetime literal would be read
+    in the driver's zone and shown in the session's."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def elapsed_seconds(start: Column | str, end: Column | str) -> Column:
     """Whole seconds from start to end, truncated toward zero."""
     return (col(end) - col(start)).cast("interval second").cast("bigint")
@@ -70,11 +78,11 @@ def parse_ym(text: str) -> YearMonth:
         ValueError: the text is not a plausible year and month.
     """
     shown = text.strip()
-    year_text, dash, month_text = shown.partition("-")
+    year_text, _, month_text = shown.partition("-")
     try:
-        if not dash:
-            raise ValueError
         year, month = int(year_text), int(month_text)
+        if "-" in month_text:
+            raise ValueError
     except ValueError:
         raise ValueError(f"expected YYYY-MM, got {shown!r}") from None
     if month not in range(1, 13):

@@ -6,11 +6,13 @@ platform and direction, so the built-in median is bounded.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from datetime import datetime
+
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbside.functions.calendar import by_year
+from curbside.functions.calendar import by_year, naive
 from curbside.functions.numeric import ratio_of_sums, row_count, safe_ratio, sum_or_zero, weighted_mean
 from curbside.operators.bounded import keep_listed
 from curbside.operators.shape import pivot_many, pivot_values, with_share
@@ -82,12 +84,13 @@ def trips_in_box(
 
 
 def trailing_points(
-    points: DataFrame, month: Column, trail: int | None = None, scope: Scope = DEFAULT_SCOPE
+    points: DataFrame, month: datetime, trail: int | None = None, scope: Scope = DEFAULT_SCOPE
 ) -> DataFrame:
     """Points of one month and the ``trail`` observed months before it, with a
     weight that fades with age. Months are counted as they occur in the data and
     the trail stops at the first one."""
     trail = scope.trail_months if trail is None else trail
+    month = naive(month)
     seen = points.where(F.col("month") <= month).select("month").distinct()
     start = seen.orderBy(F.desc("month")).limit(trail + 1).agg(F.min("month")).scalar()
     age_days = (month - F.col("month")).cast("interval day").cast("bigint")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curbside.functions.calendar import by_year, month_label, months_between_starts
+from curbside.functions.calendar import by_year, month_label, months_between_starts, naive
 from curbside.functions.numeric import row_count, safe_ratio
 from curbside.operators.shape import first_by, with_share
 from curbside.scope import DEFAULT_SCOPE, Scope
@@ -58,7 +58,7 @@ def trough(volume: DataFrame) -> DataFrame:
 
 def seasonality(share: DataFrame, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
     """Mean month total per calendar month, from the season start."""
-    recent = share.where(F.col("month") >= F.lit(scope.season_from).cast("timestamp_ntz"))
+    recent = share.where(F.col("month") >= naive(scope.season_from))
     return (
         month_totals(recent)
         .groupBy(F.month("month").alias("month_number"))
@@ -93,7 +93,7 @@ def recovery(share: DataFrame, scope: Scope = DEFAULT_SCOPE) -> DataFrame:
     Without a baseline month, or without a recovery, the answer columns are null.
     """
     totals = month_totals(share)
-    start = F.lit(scope.recovery_baseline_month).cast("timestamp_ntz")
+    start = naive(scope.recovery_baseline_month)
     baseline = totals.agg(F.max(F.when(F.col("month") == start, F.col("trips")))).scalar()
     reached = (F.col("month") > start) & (F.col("trips") >= baseline)
     return totals.agg(

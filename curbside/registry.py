@@ -613,8 +613,8 @@ def q29_trips_in_box(s: Source) -> DataFrame:
 
 @query
 def q30_trailing_points(s: Source) -> DataFrame:
-    month = F.lit(FRAME_MONTH).cast("timestamp_ntz")
-    return economics.trailing_points(economics.fare_earnings(s.study.pickups), month, scope=SCOPE)
+    points = economics.fare_earnings(s.study.pickups)
+    return economics.trailing_points(points, FRAME_MONTH, scope=SCOPE)
 
 
 @query

@@ -110,15 +110,16 @@ ARCHIVE_SCHEMA = T.StructType(
 )
 
 
-def _table(**columns: str) -> T.StructType:
-    return T.StructType.fromDDL(", ".join(f"{n} {t}" for n, t in columns.items()))
+def _table(**columns: str) -> str:
+    return ", ".join(f"{n} {t}" for n, t in columns.items())
 
 
 def _doubles(*names: str) -> dict[str, str]:
     return dict.fromkeys(names, "double")
 
 
-TABLE_SCHEMAS: dict[str, T.StructType] = {
+# As DDL text: a StructType could only be parsed with a running session.
+TABLE_SCHEMAS: dict[str, str] = {
     "monthly_kpis": _table(
         month="timestamp_ntz", airport="string", platform="string", direction="string",
         trips="bigint",
