@@ -36,14 +36,19 @@ def drop_listed(
 
 
 def join_groups(
-    left: DataFrame, right: DataFrame, keys: list[str], max_rows: int | None = None
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    max_rows: int | None = None,
+    how: str = "inner",
 ) -> DataFrame:
-    """Inner join on grouping keys, null-safe, keeping the left key columns."""
+    """Join on grouping keys, null-safe (a null group matches itself), keeping the
+    left key columns."""
     right = small_side(right.withColumnsRenamed({k: f"__{k}" for k in keys}), max_rows)
     condition = F.lit(True)
     for k in keys:
         condition = condition & left[k].eqNullSafe(right[f"__{k}"])
-    return left.join(right, condition, "inner").drop(*[f"__{k}" for k in keys])
+    return left.join(right, condition, how).drop(*[f"__{k}" for k in keys])
 
 
 def settled(df: DataFrame) -> DataFrame:

@@ -54,8 +54,9 @@ def grouped(
         return _in_one_task(df, keys, aggregates, medians)
 
     # Some groups are too large for one task. One pass gives all ordinary aggregates
-    # and each measure's count and ends; the result has one row per group, and its
-    # own row count decides whether it may be broadcast.
+    # and each measure's count and ends, one row per group. Joins back to the rows use
+    # only the large groups, which are at most 1/group_rows of the row count; their
+    # number is taken here and decides whether they may be broadcast.
     held = {f"__v{i}": c.cast("double") for i, c in enumerate(medians.values())}
     rows = df.withColumns(held)
     ends = [
@@ -70,13 +71,12 @@ def grouped(
     groups = settled(
         rows.groupBy(*keys).agg(*aggregates, row_count().alias("__rows"), *ends)
     )
-    n_groups = groups.count()
     large = groups.where(F.col("__rows") > group_rows)
-    small = groups.where(F.col("__rows") <= group_rows)
-    found = _ranked(rows, keys, large, list(medians), group_rows, n_groups)
-    if not small.isEmpty():
-        few = join_groups(df, small.select(*keys), keys, n_groups)
-        found = found.unionByName(_in_one_task(few, keys, [], medians))
+    n_groups, n_large = groups.count(), large.count()
+    found = _ranked(rows, keys, large, list(medians), group_rows, n_large)
+    if n_large < n_groups:
+        rest = join_groups(df, large.select(*keys), keys, n_large, "left_anti")
+        found = found.unionByName(_in_one_task(rest, keys, [], medians))
     result = join_groups(groups, found, keys, n_groups) if keys else _side_by_side(groups, found)
     return result.drop("__rows", *[f"{v}_{e}" for v in held for e in ("n", "lo", "hi")])
 
@@ -118,7 +118,7 @@ def _ranked(
     groups: DataFrame,
     names: list[str],
     group_rows: int,
-    n_groups: int,
+    n_large: int,
 ) -> DataFrame:
     """Medians of large groups by narrowing value ranges (see module text)."""
     held = [f"__v{i}" for i in range(len(names))]
@@ -151,13 +151,13 @@ def _ranked(
         todo = ranges.where(wide)
         if todo.isEmpty():
             break
-        narrowed = _narrow(_within(values, todo, keys, n_groups), by)
+        narrowed = _narrow(_within(values, todo, keys, n_large), by)
         ranges = settled(ranges.where(~wide).unionByName(narrowed))
     # A measure that is null on every row of a group has n = 0 and no median.
     rest = F.col("answer").isNull() & (F.col("n") > 0)
     found = ranges.where(~rest).select(*by, "answer")
     if not ranges.where(rest).isEmpty():
-        picked = _pick(_within(values, ranges.where(rest), keys, n_groups), by)
+        picked = _pick(_within(values, ranges.where(rest), keys, n_large), by)
         found = found.unionByName(picked)
     return (
         found.groupBy(*keys)
@@ -167,7 +167,7 @@ def _ranked(
     )
 
 
-def _within(values: DataFrame, ranges: DataFrame, keys: list[str], n_groups: int) -> DataFrame:
+def _within(values: DataFrame, ranges: DataFrame, keys: list[str], n_large: int) -> DataFrame:
     """The values that fall into their group's open ranges, one row per value.
 
     The ranges of a group travel as one array (one entry per open measure), so each
@@ -176,7 +176,7 @@ def _within(values: DataFrame, ranges: DataFrame, keys: list[str], n_groups: int
     ends = F.struct("__m", "n", "lo", "hi", "below")
     todo = ranges.groupBy(*keys).agg(F.collect_list(ends).alias("__todo"))
     listed = (
-        join_groups(values, todo, keys, n_groups)
+        join_groups(values, todo, keys, n_large)
         if keys
         else values.withColumn("__todo", todo.scalar())
     )

@@ -13,13 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.functions.calendar import months
+from curbside.schema import RAW_SCHEMA
 from curbside.scope import DEFAULT_SCOPE, Scope, YearMonth
 from curbside.sources.files import archived_months, exists, raw_months, raw_path
 from curbside.sources.trips import derive_trips, normalise_raw, write_slim
-from curbside.schema import RAW_SCHEMA
 
 log = logging.getLogger(__name__)
 
+# Fixed value: the month label in the path of a raw file.
+RAW_LABEL = r"fhvhv_tripdata_(\d{4}-\d{2})\.parquet"
+
 
 @dataclass
 class BuildReport:
@@ -50,9 +53,7 @@ def months_to_build(planned: DataFrame, present: DataFrame) -> DataFrame:
 def _stamped(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Raw rows with the month of their source file."""
     raw = spark.read.schema(RAW_SCHEMA).parquet(*paths)
-    label = F.regexp_extract(
-        F.col("_metadata.file_path"), r"fhvhv_tripdata_(\d{4}-\d{2})\.parquet", 1
-    )
+    label = F.regexp_extract(F.col("_metadata.file_path"), RAW_LABEL, 1)
     return raw.withColumns(
         {
             "year": F.substring(label, 1, 4).cast("int"),
@@ -107,12 +108,13 @@ def build_archive(
     report.missing = [ym for ym in plan if ym not in done and ym not in landed]
     for ym in report.missing:
         log.warning("skip %d-%02d: no raw file", *ym)
-    _build(spark, raw_dir, archive, [m for m in plan if m not in done and m in landed], scope, report)
+    todo = [ym for ym in plan if ym not in done and ym in landed]
+    build_months(spark, raw_dir, archive, todo, scope, report)
     report.built.sort()
     return report
 
 
-def _build(
+def build_months(
     spark: SparkSession,
     raw_dir: str,
     archive: str,
@@ -120,6 +122,7 @@ def _build(
     scope: Scope,
     report: BuildReport,
 ) -> None:
+    """Build exactly these months, isolating any that fail."""
     if not todo:
         return
     try:
@@ -132,8 +135,8 @@ def _build(
             report.failed[todo[0]] = str(exc).splitlines()[0]
             return
         half = len(todo) // 2
-        _build(spark, raw_dir, archive, todo[:half], scope, report)
-        _build(spark, raw_dir, archive, todo[half:], scope, report)
+        build_months(spark, raw_dir, archive, todo[:half], scope, report)
+        build_months(spark, raw_dir, archive, todo[half:], scope, report)
 
 
 def stamp_by_pickup(raw: DataFrame) -> DataFrame:

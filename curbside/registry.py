@@ -7,10 +7,11 @@ from datetime import datetime
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curbside.functions import calendar, text, trip
-from curbside.operators.shape import with_share
+from curbside.operators.medians import grouped
 from curbside.plans import aggregates, economics, ingest, market, quality, scorecard, scoping
 from curbside.scope import AGGREGATE_TABLES, Scope
 from curbside.sources.files import archived_months
@@ -20,6 +21,7 @@ from curbside.sources.trips import (
     add_ratios,
     derive_trips,
     load_all,
+    normalise_raw,
     read_month,
     read_raw,
     slim_for_storage,
@@ -130,13 +132,12 @@ def s1_airport_trips(s: Source) -> DataFrame:
 @query
 def s2_tolerant_projection(s: Source) -> DataFrame:
     """The same scan over rows that lack the optional fee column."""
-    from curbside.sources.trips import normalise_raw
-
     trips = derive_trips(normalise_raw(s.raw.drop("cbd_congestion_fee")), SCOPE)
-    return trips.groupBy("platform").agg(
-        F.count(F.lit(1)).alias("trips"),
-        F.count("cbd_congestion_fee").alias("fees"),
-        F.median("rider_total_ex_tip").alias("med_rider_total"),
+    return grouped(
+        trips,
+        ["platform"],
+        [F.count(F.lit(1)).alias("trips"), F.count("cbd_congestion_fee").alias("fees")],
+        {"med_rider_total": F.col("rider_total_ex_tip")},
     )
 
 
@@ -301,8 +302,6 @@ def p27_formatted_kpis(s: Source) -> DataFrame:
 @query
 def p28_formatted_differences(s: Source) -> DataFrame:
     """Month-on-month changes of each KPI as signed text."""
-    from pyspark.sql import Window as W
-
     long = s.study.kpis.withColumn("trips", F.col("trips").cast("double")).unpivot(
         aggregates.CELL, [m.name for m in SCOPE.metrics], "metric", "value"
     )
