@@ -38,10 +38,11 @@ SCOPE = Scope(
     season_from=datetime(1998, 1, 1),
     recovery_baseline_month=datetime(1996, 2, 1),
 )
-# Digits kept of doubles: finer than any exact decimal in the data, except where many
-# doubles are added up.
+# Digits kept of doubles: finer than any exact decimal in the data, but fewer where
+# many doubles are added up or values are large.
 DIGITS = 11
-FEWER = {
+OTHER_DIGITS = {
+    "med_fare_per_mile": 12,
     "total_topup": 4, "topup_per_trip": 4, "hhi": 6, "mean_tip": 10,
     "med_gross_per_engaged_hour": 9, "gross_per_hour": 9, "med_gross_per_hr": 9,
     "med_gross_per_hr_clean": 9, "gross_per_hr_delta": 9,
@@ -100,7 +101,7 @@ def neat(df: DataFrame) -> DataFrame:
     """Round doubles, so that engines that add in different orders agree."""
     return df.select(
         *[
-            F.round(c, FEWER.get(c, DIGITS)).alias(c) if t == "double" else F.col(c)
+            F.round(c, OTHER_DIGITS.get(c, DIGITS)).alias(c) if t == "double" else F.col(c)
             for c, t in df.dtypes
         ]
     )

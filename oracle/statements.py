@@ -5,9 +5,10 @@ from __future__ import annotations
 from oracle.relations import difference_text, gaps, metric_text, statement
 
 # Digits kept of doubles. Eleven is finer than any exact decimal the test rows give,
-# so rounding never meets a tie; sums of many doubles keep fewer.
+# so rounding never meets a tie; sums of many doubles and large values keep fewer.
 DIGITS = 11
-FEWER = {
+OTHER_DIGITS = {
+    "med_fare_per_mile": 12,
     "total_topup": 4, "topup_per_trip": 4, "hhi": 6, "mean_tip": 10,
     "med_gross_per_engaged_hour": 9, "gross_per_hour": 9, "med_gross_per_hr": 9,
     "med_gross_per_hr_clean": 9, "gross_per_hr_delta": 9,
@@ -16,7 +17,7 @@ FEWER = {
 
 def _neat(body: str, doubles: str = "") -> str:
     """Round the named double columns of a statement."""
-    parts = [f"round({c}, {FEWER.get(c, DIGITS)}) as {c}" for c in doubles.split()]
+    parts = [f"round({c}, {OTHER_DIGITS.get(c, DIGITS)}) as {c}" for c in doubles.split()]
     if not parts:
         return statement(body)
     return statement(f"select * replace ({', '.join(parts)}) from ({body}) neat")
