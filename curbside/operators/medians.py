@@ -5,8 +5,9 @@ trip scale that is neither fast (maps are serialised entry by entry) nor safe (o
 platform at one airport may hold a third of a trillion trips). :func:`grouped`
 checks group sizes first:
 
-* all groups within ``GROUP_ROWS``: one shuffle on the keys, then each group's
-  values are sorted as a plain double array and the middle is read off;
+* all groups within ``GROUP_ROWS``: one shuffle on the keys, into enough partitions
+  that a task sees about ``TASK_ROWS`` rows; then each group's values are sorted as a
+  plain double array and the middle is read off;
 * larger groups: their medians are found by repeated narrowing. Each round counts
   the rows of the current value range in ``BUCKETS`` equal-width buckets (a
   map-side combined count, at most ``BUCKETS`` rows per group and measure after the
@@ -27,6 +28,7 @@ from curbside.functions.numeric import row_count
 from curbside.operators.bounded import join_groups, settled
 
 GROUP_ROWS = 200_000
+TASK_ROWS = 1_000_000
 BUCKETS = 1024
 
 
@@ -49,9 +51,9 @@ def grouped(
     """
     if sizes is None:
         sizes = df.groupBy(*keys).agg(row_count().alias("rows"))
-    largest = sizes.agg(F.max("rows")).first()[0] or 0
-    if largest <= group_rows:
-        return _in_one_task(df, keys, aggregates, medians)
+    largest, total = sizes.agg(F.max("rows"), F.sum("rows")).first()
+    if (largest or 0) <= group_rows:
+        return _in_one_task(df, keys, aggregates, medians, total or 0)
 
     # Some groups are too large for one task. One pass gives all ordinary aggregates
     # and each measure's count and ends, one row per group. Joins back to the rows use
@@ -73,10 +75,11 @@ def grouped(
     )
     large = groups.where(F.col("__rows") > group_rows)
     n_groups, n_large = groups.count(), large.count()
+    few = groups.where(F.col("__rows") <= group_rows).agg(F.sum("__rows")).first()[0] or 0
     found = _ranked(rows, keys, large, list(medians), group_rows, n_large)
-    if n_large < n_groups:
+    if few:
         rest = join_groups(df, large.select(*keys), keys, n_large, "left_anti")
-        found = found.unionByName(_in_one_task(rest, keys, [], medians))
+        found = found.unionByName(_in_one_task(rest, keys, [], medians, few))
     result = join_groups(groups, found, keys, n_groups) if keys else _side_by_side(groups, found)
     return result.drop("__rows", *[f"{v}_{e}" for v in held for e in ("n", "lo", "hi")])
 
@@ -87,17 +90,24 @@ def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def _in_one_task(
-    df: DataFrame, keys: list[str], aggregates: list[Column], medians: dict[str, Column]
+    df: DataFrame,
+    keys: list[str],
+    aggregates: list[Column],
+    medians: dict[str, Column],
+    n_rows: int,
 ) -> DataFrame:
     """Medians of groups whose size is known to be small: gather and sort each.
 
     Shuffling rows by key first means values are gathered once, on the reduce side,
-    instead of as partial arrays on both sides.
+    instead of as partial arrays on both sides. The session's shuffle partitions are
+    used (adaptive execution may merge them) unless the counted rows need more.
     """
     held = {f"__v{i}": c.cast("double") for i, c in enumerate(medians.values())}
     rows = df.withColumns(held)
     if keys:
-        rows = rows.repartition(*keys)
+        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        needed = -(-n_rows // TASK_ROWS)
+        rows = rows.repartition(needed, *keys) if needed > usual else rows.repartition(*keys)
     gathered = rows.groupBy(*keys).agg(
         *aggregates, *[F.sort_array(F.collect_list(c)).alias(c) for c in held]
     )

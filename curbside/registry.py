@@ -57,9 +57,11 @@ class Source:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self.folder = session_folder(spark, sf_dir)
-        # The test table is one small file with one row group, hence one scan task;
-        # rebalancing its rows lets the projection and the landed files be parallel.
-        lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").hint("rebalance")
+        lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        if len(lineitem.inputFiles()) < spark.sparkContext.defaultParallelism:
+            # A small test table is one file with one row group, hence one scan task;
+            # rebalancing its rows lets the projection and the landed files be parallel.
+            lineitem = lineitem.hint("rebalance")
         self.raw_dir = land(spark.sql(RAW_TRIPS_SQL, lineitem=lineitem), self.folder)
 
     @property

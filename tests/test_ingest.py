@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 import curbside
 from curbside.functions import calendar
 from curbside.plans import ingest
+from curbside.schema import RAW_SCHEMA
 from curbside.sources.files import archived_months, raw_path
 from curbside.sources.tables import read_table, write_tables
 from curbside.sources.trips import load_all, read_month, scan_airport_trips
-from tests.frames import raw_trips
+from tests.frames import BASE, raw_trips
 
 
 def land(spark, folder, ym, n=3, **changes):
@@ -106,6 +107,32 @@ def test_slices_are_sorted_and_narrow(spark, folders):
     assert (wide["secs_engaged"], wide["tips"], len(wide)) == ("bigint", "double", 30)
 
 
+def test_a_large_month_becomes_many_sorted_files(spark, folders):
+    """One month with nearly all rows is split by size, not written by one task."""
+    raw, archive = folders
+    land(spark, raw, (2024, 12), n=5)
+    month = F.expr("timestamp_ntz'2024-11-01' + make_dt_interval(0, 0, 0, id * 6)")
+    big = spark.range(400_000).select(
+        *[F.lit(v).cast(RAW_SCHEMA[c].dataType).alias(c) for c, v in BASE.items()
+          if not c.endswith("_datetime") and c not in ("tips", "tolls", "bcf")],
+        *[month.alias(c) for c in BASE if c.endswith("_datetime")],
+        *[F.rand(seed).alias(c) for seed, c in enumerate(("tips", "tolls", "bcf"))],
+    )
+    big.write.parquet(raw_path(str(raw), (2024, 11)))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "512KB")
+    try:
+        curbside.build_archive(spark, str(raw), archive, start=(2024, 11))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    parts = list(Path(archive, "year=2024", "month=11").glob("*.parquet"))
+    assert len(parts) > 3
+    for part in parts:
+        rows = spark.read.parquet(str(part)).select("airport", "pickup_datetime").collect()
+        keys = [tuple(r) for r in rows]
+        assert keys == sorted(keys) and len(keys) < 200_000
+    assert read_month(spark, archive, 2024, 11).count() == 400_000
+
+
 def test_missing_month_and_table(spark, folders, tmp_path):
     raw, archive = folders
     with pytest.raises(FileNotFoundError):

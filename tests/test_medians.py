@@ -57,6 +57,15 @@ def test_exact_at_any_group_size(spark, monkeypatch, limit, buckets):
     assert sum(r.n for r in got.values()) == len(rows)
 
 
+def test_partitions_follow_the_counted_rows(spark, monkeypatch):
+    monkeypatch.setattr(medians, "TASK_ROWS", 10)
+    df = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("x"))
+    result = grouped(df, ["k"], [], {"m": F.col("x")})
+    plan = spark._jvm.PythonSQLUtils.explainString(result._jdf.queryExecution(), "simple")
+    assert ", 100), REPARTITION_BY_NUM" in plan
+    assert {r.k: r.m for r in result.collect()} == {k: 450.0 + k for k in range(100)}
+
+
 def test_whole_frame(spark):
     values = [float(v) for v in range(1001)]
     df = spark.createDataFrame([(v,) for v in values], "x double")
