@@ -84,11 +84,11 @@ def parse_ym(text: str) -> YearMonth:
         if "-" in month_text:
             raise ValueError
     except ValueError:
-        raise ValueError(f"expected YYYY-MM, got {shown!r}") from None
+        raise ValueError(f"not YYYY-MM: {shown!r}") from None
     if month not in range(1, 13):
-        raise ValueError(f"month must be 01-12, got {month_text!r}")
+        raise ValueError(f"month out of range: {shown!r}")
     if year not in range(FIRST_YEAR, LAST_YEAR + 1):
-        raise ValueError(f"year looks wrong: {year_text!r}")
+        raise ValueError(f"year out of range: {shown!r}")
     return year, month
 
 
@@ -109,9 +109,9 @@ def parse_month_labels(df: DataFrame, label: str) -> DataFrame:
     month_ok = F.coalesce(number[1].between(1, 12), F.lit(False))
     year_ok = F.coalesce(number[0].between(FIRST_YEAR, LAST_YEAR), F.lit(False))
     error = (
-        F.when(~F.coalesce(shaped, F.lit(False)), "expected YYYY-MM")
-        .when(~month_ok, "month must be 01-12")
-        .when(~year_ok, "year looks wrong")
+        F.when(~F.coalesce(shaped, F.lit(False)), "not YYYY-MM")
+        .when(~month_ok, "month out of range")
+        .when(~year_ok, "year out of range")
     )
     return df.withColumns(
         {

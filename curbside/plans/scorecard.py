@@ -57,7 +57,7 @@ def compare_platforms(
     """
     platforms = list(platforms)
     if not platforms:
-        raise ValueError("need at least one platform")
+        raise ValueError("no platform given")
     rows = recent_months(kpis, window).where(
         (F.col("direction") == "pickup") & F.col("platform").isin(*platforms)
     )

@@ -14,6 +14,11 @@ from curbside.sources.trips import ZSTD_LEVEL
 FORMATS = ("parquet", "json")
 
 
+def check_format(fmt: str) -> None:
+    if fmt not in FORMATS:
+        raise ValueError(f"cannot write {fmt!r}, only {' and '.join(FORMATS)}")
+
+
 def write_tables(
     tables: Mapping[str, DataFrame], base: str, fmt: str = "parquet"
 ) -> dict[str, str]:
@@ -22,10 +27,10 @@ def write_tables(
     Raises:
         ValueError: unknown format, or the names are not the six tables.
     """
-    if fmt not in FORMATS:
-        raise ValueError(f"fmt must be 'parquet' or 'json', got {fmt!r}")
-    if set(tables) != set(AGGREGATE_TABLES):
-        raise ValueError(f"aggregate mismatch: {sorted(set(tables) ^ set(AGGREGATE_TABLES))}")
+    check_format(fmt)
+    missing, extra = set(AGGREGATE_TABLES) - set(tables), set(tables) - set(AGGREGATE_TABLES)
+    if missing or extra:
+        raise ValueError(f"not the six tables: missing {missing}, unknown {extra}")
     written = {}
     for name, df in tables.items():
         path = f"{base}/{name}"

@@ -10,15 +10,14 @@ from curbside.operators.bounded import settled
 from curbside.operators.medians import GROUP_ROWS
 from curbside.plans import aggregates, economics, market, scoping
 from curbside.scope import AGGREGATE_TABLES, DEFAULT_SCOPE, Scope
-from curbside.sources.tables import read_table, write_tables
+from curbside.sources.tables import check_format, read_table, write_tables
 
 
 def export_aggregates(
     trips: DataFrame, base: str, fmt: str = "parquet", group_rows: int = GROUP_ROWS
 ) -> dict[str, str]:
     """Compute all six tables from shared passes and write them; name to path."""
-    if fmt not in ("parquet", "json"):
-        raise ValueError(f"fmt must be 'parquet' or 'json', got {fmt!r}")
+    check_format(fmt)  # before any work
     return write_tables(aggregates.all_tables(trips, group_rows=group_rows), base, fmt)
 
 

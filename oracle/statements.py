@@ -154,9 +154,9 @@ STATEMENTS: dict[str, str] = {
     "s15_month_labels": statement(
         f"""select label, case when error is null then y end as year,
              case when error is null then m end as month, error
-           from (select *, case when y is null then 'expected YYYY-MM'
-                   when m not between 1 and 12 then 'month must be 01-12'
-                   when y not between 2019 and 2100 then 'year looks wrong' end as error
+           from (select *, case when y is null then 'not YYYY-MM'
+                   when m not between 1 and 12 then 'month out of range'
+                   when y not between 2019 and 2100 then 'year out of range' end as error
                  from (select label,
                    case when regexp_full_match(trim(label), '[0-9]+-[0-9]+')
                      then split_part(trim(label), '-', 1)::int end as y,
