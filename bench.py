@@ -3,8 +3,9 @@
 Environment: BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8).
 ``land`` is the one-off cost of computing the trip relation from the test tables and
 ``export`` that of building the six aggregate tables from it; the queries then read
-trips or tables as they would on stored data. Each query is run once to warm the JVM
-and once timed, writing every row to a no-op sink.
+trips or tables as they would on stored data. A small scan starts the session before
+the clock; each query is run once to warm the JVM, then twice, and the faster run counts.
+Every row is written to a no-op sink.
 """
 
 from __future__ import annotations
@@ -62,11 +63,12 @@ def main() -> None:
     def run(name: str) -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
 
+    spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg({"l_quantity": "sum"}).collect()
     times = {"land": seconds(lambda: source(spark, sf_dir))}
     times["export"] = seconds(lambda: source(spark, sf_dir).study.tables)
     for name in HEADLINE:
         run(name)
-        times[name] = seconds(lambda: run(name))
+        times[name] = min(seconds(lambda: run(name)) for _ in range(2))
     print(
         json.dumps(
             {

@@ -5,7 +5,7 @@ trip scale that is neither fast (maps are serialised entry by entry) nor safe (o
 platform at one airport may hold a third of a trillion trips). :func:`grouped`
 checks group sizes first:
 
-* all groups within ``GROUP_ROWS``: one shuffle on the keys, into enough partitions
+* all groups within ``GROUP_VALUES`` (rows times measures): one shuffle on the keys, into enough partitions
   that a task sees about ``TASK_ROWS`` rows; then each group's values are sorted as a
   plain double array and the middle is read off;
 * larger groups: their medians are found by repeated narrowing. Each round counts
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from curbside.functions.numeric import row_count
 from curbside.operators.bounded import join_groups, settled
 
-GROUP_ROWS = 200_000
+# Values one task may hold for one group: about 100 MB while they are gathered.
+GROUP_VALUES = 4_000_000
 TASK_ROWS = 1_000_000
 BUCKETS = 1024
 
@@ -39,7 +40,7 @@ def grouped(
     medians: dict[str, Column],
     *,
     sizes: DataFrame | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """``groupBy(keys)`` giving ``aggregates`` and the exact median of each row
     expression in ``medians``.
@@ -47,8 +48,11 @@ def grouped(
     Args:
         sizes: keys and ``rows`` per group, where the caller has them already;
             otherwise they are counted here (a narrow scan of the keys).
-        group_rows: largest group that one task may hold.
+        group_rows: largest group that one task may hold; by default as many rows
+            as make ``GROUP_VALUES`` values.
     """
+    if group_rows is None:
+        group_rows = GROUP_VALUES // max(len(medians), 1)
     if sizes is None:
         sizes = df.groupBy(*keys).agg(row_count().alias("rows"))
     largest, total = sizes.agg(F.max("rows"), F.sum("rows")).first()

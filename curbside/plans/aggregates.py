@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curbside.functions.calendar import month_start
 from curbside.functions.numeric import rate, ratio_of_sums, row_count, safe_ratio
 from curbside.operators.bounded import settled
-from curbside.operators.medians import GROUP_ROWS, grouped
+from curbside.operators.medians import grouped
 from curbside.operators.shape import with_share
 
 CELL = ["month", "airport", "platform", "direction"]
@@ -123,7 +123,7 @@ def hourly_profile(
     valid_only: bool = True,
     *,
     sizes: DataFrame | None = None,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Trips and economics by airport, platform and hour of day."""
     hours = grouped(
@@ -144,7 +144,7 @@ def hourly_profile(
 
 
 def incentive_breakdown(
-    trips: DataFrame, valid_only: bool = True, *, group_rows: int = GROUP_ROWS
+    trips: DataFrame, valid_only: bool = True, *, group_rows: int | None = None
 ) -> DataFrame:
     """Where driver pay exceeds everything the rider paid."""
     return _incentive_table(
@@ -163,7 +163,7 @@ def incentive_breakdown(
 
 
 def monthly_kpis(
-    trips: DataFrame, valid_only: bool = True, *, group_rows: int = GROUP_ROWS
+    trips: DataFrame, valid_only: bool = True, *, group_rows: int | None = None
 ) -> DataFrame:
     """The core panel: month, airport, platform, direction."""
     return grouped(
@@ -247,7 +247,7 @@ def _sizes(cube: DataFrame, keys: list[str]) -> DataFrame:
     return cube.groupBy(*keys).agg(F.sum("n_valid").alias("rows"))
 
 
-def cell_panel(trips: DataFrame, sizes: DataFrame | None, group_rows: int) -> DataFrame:
+def cell_panel(trips: DataFrame, sizes: DataFrame | None, group_rows: int | None) -> DataFrame:
     """KPIs and incentive measures share their key and filter: one group-by."""
     return grouped(
         _with_month(_scoped(trips, True)),
@@ -262,7 +262,7 @@ def cell_panel(trips: DataFrame, sizes: DataFrame | None, group_rows: int) -> Da
 def all_tables(
     trips: DataFrame,
     keep: Callable[[DataFrame], DataFrame] = settled,
-    group_rows: int = GROUP_ROWS,
+    group_rows: int | None = None,
 ) -> dict[str, DataFrame]:
     """All six tables from three passes over the trips instead of six.
 

@@ -30,6 +30,7 @@ class BuildReport:
 
     present: list[YearMonth] = field(default_factory=list)
     built: list[YearMonth] = field(default_factory=list)
+    empty: list[YearMonth] = field(default_factory=list)  # built, but no airport trip
     missing: list[YearMonth] = field(default_factory=list)
     failed: dict[YearMonth, str] = field(default_factory=dict)
 
@@ -110,7 +111,10 @@ def build_archive(
         log.warning("skip %d-%02d: no raw file", *ym)
     todo = [ym for ym in plan if ym not in done and ym in landed]
     build_months(spark, raw_dir, archive, todo, scope, report)
-    report.built.sort()
+    # A month without airport trips leaves no partition (and is tried again next time).
+    written = set(archived_months(spark, archive))
+    report.empty = sorted(ym for ym in report.built if ym not in written)
+    report.built = sorted(ym for ym in report.built if ym in written)
     return report
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curbside.functions.calendar import iso_weekday
 from curbside.functions.numeric import rate, row_count, safe_ratio
 from curbside.operators.bounded import keep_listed
-from curbside.operators.medians import GROUP_ROWS, grouped
+from curbside.operators.medians import grouped
 from curbside.operators.shape import DIRECTIONS, pivot_values
 from curbside.plans.scoping import max_active
 from curbside.scope import DEFAULT_SCOPE, Scope
@@ -38,7 +38,7 @@ FUNNEL_STEPS = ("raw", "valid + live platforms + no transfers", "pickups at disp
 FAULTS = ("neg_to_scene", "neg_curb_wait", "nonpos_fare", "nonpos_miles")
 
 
-def describe(df: DataFrame, cols: list[str], *, group_rows: int = GROUP_ROWS) -> DataFrame:
+def describe(df: DataFrame, cols: list[str], *, group_rows: int | None = None) -> DataFrame:
     """Profile numeric columns: dtype, nulls, null share, min, median, max, in the
     caller's order.
 
@@ -96,7 +96,7 @@ def numeric_histogram(
     return df.select(F.inline(cells)).groupBy("column", "bin").agg(row_count().alias("rows"))
 
 
-def airport_platform_summary(trips: DataFrame, *, group_rows: int = GROUP_ROWS) -> DataFrame:
+def airport_platform_summary(trips: DataFrame, *, group_rows: int | None = None) -> DataFrame:
     """Trips and three medians by airport and platform."""
     return grouped(
         trips,

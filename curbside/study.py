@@ -7,14 +7,13 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from curbside.operators.bounded import settled
-from curbside.operators.medians import GROUP_ROWS
 from curbside.plans import aggregates, economics, market, scoping
 from curbside.scope import AGGREGATE_TABLES, DEFAULT_SCOPE, Scope
 from curbside.sources.tables import check_format, read_table, write_tables
 
 
 def export_aggregates(
-    trips: DataFrame, base: str, fmt: str = "parquet", group_rows: int = GROUP_ROWS
+    trips: DataFrame, base: str, fmt: str = "parquet", group_rows: int | None = None
 ) -> dict[str, str]:
     """Compute all six tables from shared passes and write them; name to path."""
     check_format(fmt)  # before any work

@@ -56,6 +56,14 @@ def test_build_resumes_and_reports(spark, folders):
     assert read_month(spark, archive, 2025, 1).count() == 5
 
 
+def test_a_month_without_airport_trips_is_reported_empty(spark, folders):
+    raw, archive = folders
+    land(spark, raw, (2024, 11))
+    land(spark, raw, (2024, 12), PULocationID=2, DOLocationID=3)
+    report = curbside.build_archive(spark, str(raw), archive, start=(2024, 11))
+    assert report.built == [(2024, 11)] and report.empty == [(2024, 12)]
+
+
 def test_overwrite_replaces_only_that_month(spark, folders):
     raw, archive = folders
     for ym in ((2024, 11), (2024, 12)):
