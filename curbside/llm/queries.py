@@ -10,6 +10,7 @@ from curbside.llm.common import scratch
 from curbside.llm.credential_scan import credential_scan, scan_report
 from curbside.llm.decontaminate import contamination
 from curbside.llm.line_quality import BASE, line_quality
+from curbside.llm.near_dedup import near_duplicates
 from curbside.llm.packing import packed
 from curbside.llm.token_files import read_tokens, write_tokens
 
@@ -46,12 +47,18 @@ def op8_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_report(credential_scan(table(spark, sf_dir, "documents")))
 
 
+def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "kept")
+
+
 QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_line_quality": op3_line_quality,
     "op4_harmonic_packing": op4_harmonic_packing,
     "op7_token_files": op7_token_files,
     "op8_credential_scan": op8_credential_scan,
+    "op10_prob_minhash": op10_prob_minhash,
 }
 
 ORACLES = {
