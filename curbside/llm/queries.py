@@ -12,6 +12,7 @@ from curbside.llm.decontaminate import contamination
 from curbside.llm.line_quality import BASE, line_quality
 from curbside.llm.near_dedup import near_duplicates
 from curbside.llm.packing import packed
+from curbside.llm.suffix_dedup import repeated_passages
 from curbside.llm.token_files import read_tokens, write_tokens
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -53,6 +58,7 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_line_quality": op3_line_quality,
     "op4_harmonic_packing": op4_harmonic_packing,
