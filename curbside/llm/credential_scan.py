@@ -202,7 +202,7 @@ def redacted(docs: DataFrame, max_owners: int = MAX_OWNERS) -> DataFrame:
         .dropDuplicates(["__id", "__hash"])
     )
     joined = docs.join(
-        spans,
+        spans.hint("merge"),  # grows with the documents
         docs.doc_id.cast("long").eqNullSafe(F.col("__id"))
         & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("__hash")),
         "left",

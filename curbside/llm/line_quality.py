@@ -183,6 +183,7 @@ def quality_filtered(docs: DataFrame, **rules) -> DataFrame:
         .dropDuplicates(["__id", "__hash"])
     )
     keyed = with_text_hash(docs)
+    kept = kept.hint("merge")  # grows with the documents
     joined = keyed.join(
         kept, keyed.doc_id.cast("long").eqNullSafe(kept["__id"]) & (keyed["__h"] == kept["__hash"])
     )

@@ -37,7 +37,7 @@ SIMILARITY = 0.8
 #: Bytes of text that are hashed at a time.
 CHUNK = 1 << 20
 #: Texts of a bucket that are compared with each other in one task.
-BLOCK = 128
+BLOCK = 512
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEPS = mixed(np.arange(1, SHINGLE + 2, dtype=np.uint64)) | np.uint64(1)
@@ -185,8 +185,8 @@ def content(words: np.ndarray) -> tuple[int, int] | None:
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a, b) whose texts are similar. The text of ``a`` travels with the pair, then meets
     that of ``b``."""
-    left = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}), "a")
-    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}), "b")
+    left = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "a_text"}).hint("merge"), "a")
+    both = left.join(texts.withColumnsRenamed({"node": "b", "text": "b_text"}).hint("merge"), "b")
 
     def test(batch: pa.RecordBatch) -> Iterator[dict]:
         a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
@@ -266,8 +266,12 @@ def near_duplicates(
     )
     starred = written(starred, "pairs")
     wanted = starred.select(F.col("a").alias("node")).union(starred.select("b")).distinct()
+    # Joins with texts are always shuffled: the lists they meet grow with the input.
     contents = written(
-        nodes_of(docs, doc_id, text).select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi"),  # noqa: E501
+        nodes_of(docs, doc_id, text)
+        .select("node", "text")
+        .join(wanted.hint("merge"), "node", "left_semi")
+        .dropDuplicates(["node"]),
         "contents",
     )
     links = written(verified(starred, contents, threshold), "verified")
@@ -323,7 +327,7 @@ def residual_links(
     sides = (
         members.join(work.withColumn("block", F.col("i")), ["bucket", "block"])
         .unionAll(members.join(work.filter("i < j").withColumn("block", F.col("j")), ["bucket", "block"]))  # noqa: E501
-        .join(contents, "node")
+        .join(contents.hint("merge"), "node")
         .select("bucket", "i", "j", "block", "node", "label", "text")
     )
 
@@ -395,4 +399,4 @@ def deduplicated(docs: DataFrame, **settings) -> DataFrame:
     """One document of each class, with its columns."""
     stay = near_duplicates(docs, **settings).filter("kept").select(F.col("node").alias("__node"))
     keyed = docs.withColumn("__node", F.xxhash64(docs.doc_id.cast("long"), docs.text))
-    return keyed.join(stay, "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)
+    return keyed.join(stay.hint("merge"), "__node", "left_semi").dropDuplicates(["__node"]).select(*docs.columns)

@@ -9,12 +9,16 @@ from curbside.llm import oracles
 from curbside.llm.common import scratch
 from curbside.llm.credential_scan import credential_scan, scan_report
 from curbside.llm.decontaminate import contamination
+from curbside.llm.language import language_ids
 from curbside.llm.line_quality import BASE, line_quality
 from curbside.llm.near_dedup import near_duplicates
 from curbside.llm.packing import packed
 from curbside.llm.suffix_dedup import repeated_passages
+from curbside.llm.token_counts import token_counts
 from curbside.llm.token_files import read_tokens, write_tokens
+from curbside.llm.toxicity import toxicity
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -42,6 +46,14 @@ def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_ids(table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(table(spark, sf_dir, "documents"), path, WORD_BPE)
@@ -52,6 +64,10 @@ def op8_credential_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_report(credential_scan(table(spark, sf_dir, "documents")))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "kept")
@@ -62,8 +78,11 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_line_quality": op3_line_quality,
     "op4_harmonic_packing": op4_harmonic_packing,
+    "op5_toxicity": op5_toxicity,
+    "op6_language": op6_language,
     "op7_token_files": op7_token_files,
     "op8_credential_scan": op8_credential_scan,
+    "op9_token_counts": op9_token_counts,
     "op10_prob_minhash": op10_prob_minhash,
 }
 

@@ -1,16 +1,16 @@
 """Removal of repeated passages with a distributed, difference-cover suffix sort.
 
 Suffixes are compared by their first ``LENGTH`` bytes only, which is all that the result needs.
-The cover {1, 5, 11, 24, 25, 27} modulo 31 has the property that for any two places in any two
-documents there is a shift below 31 that takes both to sampled places. So two equal strings of 50
-bytes hold two aligned sampled tuples of 20 bytes.
+The cover {3, 6, 7, 12, 14} modulo 21 has the property that for any two places in any two
+documents there is a shift below 21 that takes both to sampled places. So two equal strings of 50
+bytes hold two aligned sampled tuples of 30 bytes.
 
 1. Documents are put into blocks of a few megabytes, stored in a table bucketed by block, so that
    later steps bring what is known of a block to the block, not the other way round.
 2. Sampled tuples get names (fingerprints). Each block sends its distinct names, sorted and
    delta-coded, to the name's range; there names of several blocks are found by comparing
    neighbours, and one bit a name goes back. Names of one document only drop out here.
-3. The remaining suffixes are merged in: a suffix whose next 31 places hold a repeated sampled
+3. The remaining suffixes are merged in: a suffix whose next 21 places hold a repeated sampled
    name gets a 64-bit name of its 50 bytes. Again each block sends its distinct names, now with
    the first document that holds each, and gets back one bit: whether an earlier document of
    another block has the same prefix.
@@ -45,9 +45,9 @@ from curbside.llm.bytehash import fingerprints, prefix_sums
 from curbside.llm.common import scratch, text_bytes, utf8, written
 
 LENGTH = 50
-#: A perfect difference cover of the residues modulo 31.
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+#: A perfect difference cover of the residues modulo 21.
+PERIOD = 21
+COVER = (3, 6, 7, 12, 14)
 TUPLE = LENGTH - PERIOD + 1
 
 #: Text of a block, in bytes; a longer document is a block of its own.
@@ -133,7 +133,7 @@ class Block:
         return fingerprints(self.sums, places, places + TUPLE) >> np.uint64(64 - bits)
 
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Starts of 50-byte strings with a repeated sampled place in their first 31 bytes."""
+        """Starts of 50-byte strings with a repeated sampled place in their first 21 bytes."""
         edge = np.zeros(len(self.data) + 1, dtype=np.int32)
         doc = np.searchsorted(self.ends, repeated, "right")
         np.add.at(edge, np.maximum(repeated - PERIOD + 1, self.starts[doc]), 1)
