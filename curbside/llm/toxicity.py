@@ -1,17 +1,19 @@
 """Toxicity scores by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positives; documents without regard to their label are the
-unlabelled rest. A linear classifier over word presence is trained in numpy on the risk
+unlabelled rest. A linear classifier over the presence of words and word beginnings is trained
+in numpy on the risk
 
     prior * R+(toxic) + max(0, R-(unlabelled) - prior * R-(toxic)),
 
-with the logistic loss. Where a batch's estimate of the negative part falls below zero, the step
-goes back up it, which keeps the classifier from fitting the unlabelled toxic documents. The
-prior is the share of toxic documents among the labelled ones.
+with the logistic loss, over those words and beginnings that are clearly more frequent in toxic
+documents. Where a batch's estimate of the negative part falls below zero, the step goes back up
+it, which keeps the classifier from fitting the unlabelled toxic documents. The prior is the
+share of toxic documents among the labelled ones.
 
 Training rows are bounded (``POSITIVES``, ``UNLABELLED``), chosen by the hash of their id, and
-turned into word numbers where they are read. Every whole text is scored where it is read, with
-the weights alone sent to the tasks (at most ``BINS`` doubles).
+turned into numbers where they are read. Every whole text is scored where it is read, with the
+weights alone sent to the tasks (``BINS`` doubles).
 
 Defined cases: a null or empty text has the score of a text without known words; a null id is
 never used for training; without positives or unlabelled rows every score is the prior (0 if
@@ -21,6 +23,7 @@ that is unknown); repeated rows are scored each by itself; an empty table gives
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -30,23 +33,44 @@ from pyspark.sql import functions as F
 from curbside.llm.common import map_batches, plain_words
 
 POSITIVES = 4000
-UNLABELLED = 12_000
+UNLABELLED = 10_000
 BINS = 1 << 18
-#: Words of fewer training documents have no weight.
-MIN_DOCS = 8
+#: Lengths in bytes of the word beginnings that count besides whole words.
+PREFIXES = (3, 4, 5, 6)
+#: Words whose numbers a task keeps.
+KEPT_WORDS = 400_000
+#: Words and beginnings of fewer training documents have no weight.
+MIN_DOCS = 5
+#: Standard errors by which a share must be larger among toxic documents.
+CLEARLY = 4.0
 FOLDS, HELD_OUT = 5, 0
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 1600, 0.02, 1e-4, 7
 
 
+_BINS: dict[bytes, bytes] = {}
+
+
 def fold(doc_id: str, folds: int) -> Column:
     """crc32 of an id as text, by remainder."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
 
 
+def bins_of(word: bytes) -> bytes:
+    """Numbers of a word and of its beginnings, as 32-bit integers."""
+    known = _BINS.get(word)
+    if known is None:
+        parts = [word, *(b"^" + word[:n] for n in PREFIXES if len(word) > n)]
+        known = array("i", [zlib.crc32(p) & (BINS - 1) for p in parts]).tobytes()
+        if len(_BINS) >= KEPT_WORDS:
+            _BINS.clear()
+        _BINS[word] = known
+    return known
+
+
 def word_bins(text: str | None) -> np.ndarray:
-    """Numbers of the distinct words of a text, ascending."""
-    bins = {zlib.crc32(w) & (BINS - 1) for w in set(plain_words(text))}
-    return np.array(sorted(bins), dtype=np.int32)
+    """Distinct numbers of the words and word beginnings of a text, ascending."""
+    words = set(plain_words(text))
+    return np.unique(np.frombuffer(b"".join(map(bins_of, words)), dtype=np.int32))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -59,7 +83,7 @@ class Rows:
     def __init__(self, rows: list[np.ndarray]):
         self.sizes = np.array([len(r) for r in rows], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
-        self.columns = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
+        self.columns = np.concatenate([np.zeros(0, np.int32), *rows])
 
     def take(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row number and column of each entry of some rows."""
@@ -68,12 +92,22 @@ class Rows:
         return np.repeat(np.arange(len(which)), sizes), self.columns[begin + np.arange(sizes.sum())]
 
 
+def screened(positive: Rows, unlabelled: Rows) -> np.ndarray:
+    """Numbers that toxic documents hold clearly more often than unlabelled ones. All others
+    have no weight, so that chance finds among many rare words cannot be fitted."""
+    in_p = np.bincount(positive.columns, minlength=BINS)
+    in_u = np.bincount(unlabelled.columns, minlength=BINS)
+    n_p, n_u = len(positive.sizes), len(unlabelled.sizes)
+    share = (in_p + in_u + 1) / (n_p + n_u + 2)
+    spread = np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u))
+    return (in_p + in_u >= MIN_DOCS) & (in_p / n_p - in_u / n_u > CLEARLY * spread)
+
+
 def train(
     positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
 ) -> tuple[np.ndarray, float]:
     """Weights by word number, and the offset."""
-    both = Rows(positive + unlabelled)
-    known = np.bincount(both.columns, minlength=BINS) >= MIN_DOCS
+    known = screened(Rows(positive), Rows(unlabelled))
     p, u = ([r[known[r]] for r in rows] for rows in (positive, unlabelled))
     p_rows, u_rows = Rows(p), Rows(u)
     random = np.random.default_rng(SEED)
@@ -111,10 +145,10 @@ def featurized(docs: DataFrame, text: str) -> list[np.ndarray]:
     """Word numbers of a bounded frame of texts."""
 
     def bins(batch: pa.RecordBatch) -> dict:
-        return {"bins": [word_bins(t) for t in batch["text"].to_pylist()]}
+        return {"bins": [word_bins(t).tobytes() for t in batch["text"].to_pylist()]}
 
-    rows = map_batches(docs.select(F.col(text).alias("text")), "bins array<int>", bins).collect()
-    return [np.array(r.bins, dtype=np.int32) for r in rows]
+    rows = map_batches(docs.select(F.col(text).alias("text")), "bins binary", bins).collect()
+    return [np.frombuffer(r.bins, dtype=np.int32) for r in rows]
 
 
 def bounded_sample(ids: DataFrame, docs: DataFrame, n: int, doc_id: str) -> DataFrame:
