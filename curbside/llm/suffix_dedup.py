@@ -7,14 +7,16 @@ bytes hold two aligned sampled tuples of 30 bytes.
 
 1. Documents are put into blocks of a few megabytes, stored in a table bucketed by block, so that
    later steps bring what is known of a block to the block, not the other way round.
-2. Sampled tuples get names (fingerprints). Each block sends its distinct names, sorted and
+2. Copies of an earlier document are found by their digests. They go as a whole, and send no
+   names: whatever they hold, the earlier document holds.
+3. Sampled tuples get names (fingerprints). Each block sends its distinct names, sorted and
    delta-coded, to the name's range; there names of several blocks are found by comparing
    neighbours, and one bit a name goes back. Names of one document only drop out here.
-3. The remaining suffixes are merged in: a suffix whose next 21 places hold a repeated sampled
+4. The remaining suffixes are merged in: a suffix whose next 21 places hold a repeated sampled
    name gets a 64-bit name of its 50 bytes. Again each block sends its distinct names, now with
    the first document that holds each, and gets back one bit: whether an earlier document of
    another block has the same prefix.
-4. Each block removes the bytes covered by a prefix that an earlier document holds.
+5. Each block removes the bytes covered by a prefix that an earlier document holds.
 
 Ranks are replaced by fingerprints, since only equality of 50-byte prefixes matters and the
 names of a full recursion would pass every suffix through several shuffles. A false match needs
@@ -66,6 +68,7 @@ BLOCKS = T.StructType(
         T.StructField("ids", T.BinaryType()),
         T.StructField("known", T.BinaryType()),
         T.StructField("sizes", T.BinaryType()),
+        T.StructField("digests", T.BinaryType()),
         T.StructField("bytes", T.BinaryType()),
     ]
 )
@@ -109,22 +112,43 @@ def bytes_bits(data: bytes, n: int) -> np.ndarray:
 class Block:
     """Documents of a block in ascending order of id, with prefix sums of their bytes."""
 
-    def __init__(self, ids: bytes, known: bytes, sizes: bytes, data: bytes):
+    def __init__(self, ids: bytes, known: bytes, sizes: bytes, digests: bytes, data: bytes = b""):
         self.ids = np.frombuffer(ids, "<i8")
         self.known = np.frombuffer(known, np.uint8).astype(bool)
         self.sizes = np.frombuffer(sizes, "<i8")
+        self.digests = np.frombuffer(digests, "<u8")
+        #: Documents that can lose or remove something.
+        self.sources = self.known & (self.sizes >= LENGTH)
         self.data = np.frombuffer(data, np.uint8)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
         self.sums = prefix_sums(self.data)
 
+    def first_copies(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct digests and the first document that has each."""
+        if not self.sources.any():
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return first_of_each(self.digests[self.sources], self.ids[self.sources])[:2]
+
+    def drop_copies(self, earlier: np.ndarray) -> np.ndarray:
+        """Documents that are copies of earlier ones, here or (``earlier``, by distinct digest)
+        in other blocks; they are no sources from now on."""
+        distinct, first = self.first_copies()
+        copies = np.zeros(len(self.ids), dtype=bool)
+        if len(distinct):
+            where = np.flatnonzero(self.sources)
+            at = np.searchsorted(distinct, self.digests[where])
+            copies[where] = earlier[at] | (self.ids[where] > first[at])
+        self.sources = self.sources & ~copies
+        return copies
+
     def sampled(self) -> np.ndarray:
         """Sampled places whose tuple lies in a document long enough and with an id."""
         out = []
-        for start, size, known in zip(
-            self.starts.tolist(), self.sizes.tolist(), self.known.tolist(), strict=True
+        for start, size, source in zip(
+            self.starts.tolist(), self.sizes.tolist(), self.sources.tolist(), strict=True
         ):
-            if known and size >= LENGTH:
+            if source:
                 places = (np.arange(0, size, PERIOD)[:, None] + np.array(COVER)).ravel()
                 out.append(start + places[places <= size - TUPLE])
         return np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -178,9 +202,10 @@ def make_blocks(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             ids = np.array([i or 0 for i, _ in held], dtype="<i8").tobytes()
             known = np.array([i is not None for i, _ in held], dtype=np.uint8).tobytes()
             sizes = np.array([len(t) for _, t in held], dtype="<i8").tobytes()
+            digests = b"".join(hashlib.blake2b(t, digest_size=8).digest() for _, t in held)
             data = b"".join(t for _, t in held)
             digest = hashlib.blake2b(ids + known + sizes + data, digest_size=8).digest()
-            row = (int.from_bytes(digest, "little", signed=True), ids, known, sizes, data)
+            row = (int.from_bytes(digest, "little", signed=True), ids, known, sizes, digests, data)
             return pa.RecordBatch.from_arrays(
                 [pa.array([v], type=f.type) for v, f in zip(row, arrow, strict=True)], schema=arrow
             )
@@ -258,7 +283,7 @@ def replied(replies: pa.Table, level: int, names: np.ndarray, bits: int, parts:
 
 def matched(level: int):
     """Answers for one range of names: whether another block has the name (level 1), or has it
-    in an earlier document (level 2). Equal names are neighbours once sorted."""
+    in an earlier document (levels 0 and 2). Equal names are neighbours once sorted."""
 
     def match(group: pa.Table) -> pa.Table:
         lists = [sums(unsqueeze(x)) for x in group["names"].to_pylist()]
@@ -298,8 +323,11 @@ class Plan:
         self.bits = min(64, max(16, total.bit_length() + SPARE_BITS))
         self.parts = max(1, -(-total // RANGE_BYTES))
 
-    def read(self, blocks: pa.Table) -> Block:
-        return Block(*(blocks[c][0].as_py() for c in ("ids", "known", "sizes", "bytes")))
+    def read(self, blocks: pa.Table, replies: pa.Table) -> tuple[Block, np.ndarray]:
+        """The block without copies, and which documents are copies."""
+        block = Block(*(blocks[c][0].as_py() for c in BLOCKS.names[1:]))
+        earlier = replied(replies, 0, block.first_copies()[0], 64, self.parts)
+        return block, block.drop_copies(earlier)
 
     def tuples(self, block: Block) -> tuple:
         """Sampled places, their names, the distinct names and whether several documents here
@@ -321,20 +349,26 @@ class Plan:
             return starts, names, names, np.zeros(0, np.int64)
         return starts, names, *first_of_each(names, block.ids[block.doc_of(starts)])[:2]
 
-    def send_tuples(self, blocks: pa.Table) -> pa.Table:
-        distinct = self.tuples(self.read(blocks))[2]
+    def send_digests(self, blocks: pa.Table) -> pa.Table:
+        block = Block(*(blocks[c][0].as_py() for c in BLOCKS.names[1:-1]))
+        return sent(blocks["block"][0].as_py(), *block.first_copies(), 64, self.parts)
+
+    def send_tuples(self, blocks: pa.Table, replies: pa.Table) -> pa.Table:
+        if not len(blocks):
+            return sent(0, np.zeros(0, np.uint64), None, 64, self.parts)
+        distinct = self.tuples(self.read(blocks, replies)[0])[2]
         return sent(blocks["block"][0].as_py(), distinct, None, self.bits, self.parts)
 
     def send_prefixes(self, blocks: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(blocks):
             return sent(0, np.zeros(0, np.uint64), None, 64, self.parts)
-        _, _, distinct, docs = self.prefixes(self.read(blocks), replies)
+        _, _, distinct, docs = self.prefixes(self.read(blocks, replies)[0], replies)
         return sent(blocks["block"][0].as_py(), distinct, docs, 64, self.parts)
 
     def remove(self, blocks: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if len(blocks):
-            block = self.read(blocks)
+            block, copies = self.read(blocks, replies)
             starts, names, distinct, first = self.prefixes(block, replies)
             earlier = replied(replies, 2, distinct, 64, self.parts)
             edge = np.zeros(len(block.data) + 1, dtype=np.int32)
@@ -343,7 +377,9 @@ class Plan:
                 gone = starts[earlier[at] | (block.ids[block.doc_of(starts)] > first[at])]
                 edge[gone] += 1
                 edge[gone + LENGTH] -= 1
-            rows = removed_rows(block, np.cumsum(edge[:-1]) > 0) * len(blocks)
+            removed = np.cumsum(edge[:-1]) > 0
+            removed |= np.repeat(copies, block.sizes)
+            rows = removed_rows(block, removed) * len(blocks)
         schema = OUT_ARROW
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(schema)
         return pa.table(
@@ -389,8 +425,14 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     buckets = min(MAX_BUCKETS, max(1, -(-total // (2 * BLOCK_BYTES))))
     blocks = store_blocks(spark, make_blocks(docs, doc_id, text), buckets)
     grouped = blocks.groupBy("block")
-    tuples = grouped.applyInArrow(lambda blocks: plan.send_tuples(blocks), NAMES)
-    replies = written(tuples.groupBy("part").applyInArrow(matched(1), REPLY), "replies")
+    heads = blocks.drop("bytes").groupBy("block")
+    digests = heads.applyInArrow(lambda blocks: plan.send_digests(blocks), NAMES)
+    replies = written(digests.groupBy("part").applyInArrow(matched(0), REPLY), "replies")
+    tuples = grouped.cogroup(replies.groupBy("block")).applyInArrow(
+        lambda blocks, answers: plan.send_tuples(blocks, answers), NAMES
+    )
+    repeated = tuples.groupBy("part").applyInArrow(matched(1), REPLY)
+    replies = replies.unionAll(written(repeated, "replies"))
     prefixes = grouped.cogroup(replies.groupBy("block")).applyInArrow(
         lambda blocks, answers: plan.send_prefixes(blocks, answers), NAMES
     )
