@@ -131,7 +131,8 @@ def train(
                 d_p = np.full(len(i), -prior / len(i))
             else:
                 d_p, d_u = prior * sigmoid(g_p) / len(i), -d_u
-            slope = np.bincount(pc, d_p[pr], BINS + 1) + np.bincount(uc, d_u[ur], BINS + 1)
+            slope = np.zeros(BINS + 1)
+            slope += np.bincount(pc, d_p[pr], BINS + 1) + np.bincount(uc, d_u[ur], BINS + 1)
             slope[BINS] = d_p.sum() + d_u.sum()
             slope[:BINS] += DECAY * w[:BINS]
             t += 1
