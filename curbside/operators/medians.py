@@ -20,6 +20,8 @@ Ordinary aggregates (counts, sums, means) combine map-side and need no such care
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -226,13 +228,34 @@ def _holds(rank: Column) -> Column:
     return (F.col("before") < rank) & (rank <= F.col("upto"))
 
 
+def _bucket() -> Column:
+    """Bucket of a value in its range, in value order.
+
+    Infinities and NaN (which sorts last) have buckets of their own; the finite part of the
+    range is cut evenly, by halves where the span itself would overflow. The largest and the
+    smallest value of a range never share a bucket, so every round splits it.
+    """
+    v, lo, hi = F.col("__v"), F.col("lo"), F.col("hi")
+    least, most = F.lit(-sys.float_info.max), F.lit(sys.float_info.max)
+    low = F.when(lo == F.lit(float("-inf")), least).otherwise(F.least(lo, most))
+    high = F.when(hi > most, most).otherwise(F.greatest(hi, least))
+    wide = (high > F.lit(1e300)) | (low < F.lit(-1e300))
+    scale = F.when(wide, F.lit(0.5)).otherwise(F.lit(1.0))
+    span = high * scale - low * scale
+    position = F.when(span > 0, (v * scale - low * scale) / F.when(span > 0, span))
+    finite = F.least(F.floor(F.coalesce(position, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
+    return (
+        F.when(F.isnan(v), F.lit(BUCKETS + 1))
+        .when(v == F.lit(float("inf")), F.lit(BUCKETS))
+        .when(v == F.lit(float("-inf")), F.lit(-1))
+        .otherwise(finite)
+    )
+
+
 def _narrow(rows: DataFrame, by: list[str]) -> DataFrame:
     """Replace each range by the bucket that holds its middle ranks."""
     k1, k2 = _middle_ranks()
-    # Monotone in the value, so buckets are in value order; lo and hi fall into
-    # the first and last bucket, so every round splits the range.
-    position = (F.col("__v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
-    bucket = F.least(F.floor(position * BUCKETS), F.lit(BUCKETS - 1))
+    bucket = _bucket()
     cells = _counted(rows.withColumn("bucket", bucket), by, "bucket", "bucket")
     low, high = F.when(_holds(k1), F.col("last_v")), F.when(_holds(k2), F.col("first_v"))
     return (

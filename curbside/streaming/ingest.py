@@ -28,12 +28,14 @@ def watch_raw(
 ) -> StreamingQuery:
     """Process everything that has landed since the last run, then stop.
 
-    ``on_report`` receives a :class:`BuildReport` per micro-batch.
+    ``on_report`` receives a :class:`BuildReport` per micro-batch. Where months fail, the others
+    are built first; the batch then fails and is tried again by the next run.
     """
     arrivals = (
         spark.readStream.schema(RAW_SCHEMA)
         .parquet(f"{raw_dir}/fhvhv_tripdata_*.parquet")
         .select(F.regexp_extract(F.col("_metadata.file_path"), RAW_LABEL, 1).alias("label"))
+        .filter("label <> ''")  # a file without a month in its name belongs to none
     )
 
     def rebuild(batch: DataFrame, _batch_id: int) -> None:
@@ -43,6 +45,8 @@ def watch_raw(
         build_months(spark, raw_dir, archive, touched, scope, report)
         if on_report is not None:
             on_report(report)
+        if report.failed:
+            raise RuntimeError(f"months not built: {sorted(report.failed)}")
 
     return (
         arrivals.writeStream.foreachBatch(rebuild)

@@ -83,3 +83,26 @@ def test_empty_frame(spark):
     df = spark.createDataFrame([], "k string, x double")
     assert grouped(df, ["k"], [], {"m": F.col("x")}).count() == 0
     assert grouped(df, [], [F.count(F.lit(1)).alias("n")], {"m": F.col("x")}).first().m is None
+
+
+@pytest.mark.parametrize(
+    "odd",
+    [
+        [float("inf")],
+        [float("-inf"), float("inf")],
+        [float("nan")],
+        [float("nan"), float("inf"), float("-inf")],
+        [-1.7e308, 1.7e308],
+        [5e-324, 1e-323, -5e-324],
+        [float("inf")] * 40,
+    ],
+)
+def test_any_double_ends_and_equals_the_small_path(spark, odd):
+    values = [float(i) for i in range(50)] + odd
+    df = spark.createDataFrame([("k", v) for v in values], "key string, x double")
+    medians_of = {"m": F.col("x")}
+    found = [
+        grouped(df, ["key"], [F.count("*").alias("n")], medians_of, group_rows=limit).first().m
+        for limit in (1000, 10)
+    ]
+    assert str(found[0]) == str(found[1])
