@@ -13,9 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.functions.calendar import months
-from curbside.schema import RAW_SCHEMA
 from curbside.scope import DEFAULT_SCOPE, Scope, YearMonth
-from curbside.sources.files import archived_months, exists, raw_months, raw_path
+from curbside.sources.files import (
+    archived_months,
+    drop_slice,
+    exists,
+    raw_months,
+    raw_path,
+    slice_files,
+)
+from curbside.sources.layouts import Groups, by_layout, read_groups
 from curbside.sources.trips import derive_trips, normalise_raw, write_slim
 
 log = logging.getLogger(__name__)
@@ -51,16 +58,26 @@ def months_to_build(planned: DataFrame, present: DataFrame) -> DataFrame:
     return planned.join(present.select("month").distinct(), "month", "left_anti")
 
 
-def _stamped(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw rows with the month of their source file."""
-    raw = spark.read.schema(RAW_SCHEMA).parquet(*paths)
+def _replace(
+    spark: SparkSession, groups: Groups, archive: str, todo: list[YearMonth], scope: Scope
+) -> None:
+    """Write the slices of these months from their raw files, in one job.
+
+    A dynamic overwrite keeps the partition of a month that gets no row, so such a month's
+    old slice is dropped after the write.
+    """
+    before = {ym: slice_files(spark, archive, ym) for ym in todo}
     label = F.regexp_extract(F.col("_metadata.file_path"), RAW_LABEL, 1)
-    return raw.withColumns(
-        {
-            "year": F.substring(label, 1, 4).cast("int"),
-            "month": F.substring(label, 6, 2).cast("int"),
-        }
+    raw = read_groups(
+        spark,
+        groups,
+        year=F.substring(label, 1, 4).cast("int"),
+        month=F.substring(label, 6, 2).cast("int"),
     )
+    write_slim(derive_trips(raw, scope), archive)
+    for ym, files in before.items():
+        if files and slice_files(spark, archive, ym) == files:
+            drop_slice(spark, archive, ym)
 
 
 def build_month(
@@ -76,13 +93,17 @@ def build_month(
 
     Raises:
         FileNotFoundError: the raw month has not landed.
+        ValueError: it holds no readable trip files.
     """
     ym = (year, month)
     if overwrite or ym not in archived_months(spark, archive):
         path = raw_path(raw_dir, ym)
         if not exists(spark, path):
             raise FileNotFoundError(f"{path} not found")
-        write_slim(derive_trips(_stamped(spark, [path]), scope), archive)
+        groups, broken = by_layout(spark, [path])
+        if broken:
+            raise ValueError(f"{path}: {broken[path]}")
+        _replace(spark, groups, archive, [ym], scope)
     return f"{archive}/year={year}/month={month}"
 
 
@@ -97,8 +118,8 @@ def build_archive(
 ) -> BuildReport:
     """Build every month between two bounds that is not in the archive.
 
-    All pending months run as one distributed job. When it fails, the list is
-    halved until the unreadable months stand alone; those are reported and skipped.
+    Months whose files cannot be read as trips are reported and skipped; all other
+    pending months run as one distributed job. Any other error is raised.
     """
     end = end or latest_available_month(spark, raw_dir)
     plan = months(start or scope.archive_start, end) if end else []
@@ -111,10 +132,6 @@ def build_archive(
         log.warning("skip %d-%02d: no raw file", *ym)
     todo = [ym for ym in plan if ym not in done and ym in landed]
     build_months(spark, raw_dir, archive, todo, scope, report)
-    # A month without airport trips leaves no partition (and is tried again next time).
-    written = set(archived_months(spark, archive))
-    report.empty = sorted(ym for ym in report.built if ym not in written)
-    report.built = sorted(ym for ym in report.built if ym in written)
     return report
 
 
@@ -126,21 +143,23 @@ def build_months(
     scope: Scope,
     report: BuildReport,
 ) -> None:
-    """Build exactly these months, isolating any that fail."""
-    if not todo:
+    """Build exactly these months, setting unreadable ones apart.
+
+    A month without airport trips leaves no slice (and is tried again next time).
+    """
+    paths = {ym: raw_path(raw_dir, ym) for ym in todo}
+    groups, broken = by_layout(spark, list(paths.values()))
+    for ym, path in paths.items():
+        if path in broken:
+            log.warning("failed %d-%02d: %s", *ym, broken[path])
+            report.failed[ym] = broken[path]
+    good = [ym for ym in todo if ym not in report.failed]
+    if not good:
         return
-    try:
-        raw = _stamped(spark, [raw_path(raw_dir, ym) for ym in todo])
-        write_slim(derive_trips(raw, scope), archive)
-        report.built.extend(todo)
-    except Exception as exc:  # noqa: BLE001 - one bad month must not stop the rest
-        if len(todo) == 1:
-            log.warning("failed %d-%02d: %s", *todo[0], str(exc).splitlines()[0])
-            report.failed[todo[0]] = str(exc).splitlines()[0]
-            return
-        half = len(todo) // 2
-        build_months(spark, raw_dir, archive, todo[:half], scope, report)
-        build_months(spark, raw_dir, archive, todo[half:], scope, report)
+    _replace(spark, groups, archive, good, scope)
+    written = set(archived_months(spark, archive))
+    report.built.extend(sorted(ym for ym in good if ym in written))
+    report.empty.extend(sorted(ym for ym in good if ym not in written))
 
 
 def stamp_by_pickup(raw: DataFrame) -> DataFrame:

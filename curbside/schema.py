@@ -1,9 +1,9 @@
 """Explicit schemas for the raw input, the stored slices and the aggregates.
 
-Raw monthly files drift: integer and float widths change, timestamps come in
-milliseconds or microseconds, and one fee column is absent from older files. An
-explicit read schema absorbs all of that in one scan, so schema inference and
-``mergeSchema`` (which rejects INT against BIGINT) are never used.
+Raw monthly files drift: integer and float widths change, the unit of timestamps
+differs, and one fee column is absent from older files. An explicit read schema
+absorbs most of that in one scan; what it cannot (``sources.layouts``) is read as
+stored and cast. ``mergeSchema``, which rejects INT against BIGINT, is never used.
 """
 
 from __future__ import annotations

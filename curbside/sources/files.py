@@ -31,6 +31,16 @@ def raw_months(spark: SparkSession, raw_dir: str) -> list[YearMonth]:
     return sorted((int(m[1]), int(m[2])) for m in labels if m)
 
 
+def slice_files(spark: SparkSession, archive: str, ym: YearMonth) -> set[str]:
+    """Files of one month of the archive; none if it has no slice."""
+    return set(_glob(spark, f"{archive}/year={ym[0]}/month={ym[1]}/*.parquet"))
+
+
+def drop_slice(spark: SparkSession, archive: str, ym: YearMonth) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{archive}/year={ym[0]}/month={ym[1]}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def archived_months(spark: SparkSession, archive: str) -> list[YearMonth]:
     """Months present in the archive, from its partition folders."""
     found = _glob(spark, f"{archive}/year=*/month=*")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside import schema as S
@@ -12,16 +12,28 @@ from curbside.functions import trip as X
 from curbside.functions.calendar import elapsed_seconds
 from curbside.scope import DEFAULT_SCOPE, Scope, YearMonth
 from curbside.sources.files import archived_months
+from curbside.sources.layouts import by_layout, read_groups
 
 ZSTD_LEVEL = 9
 # A row group of about a quarter million 25-column rows.
 ROW_GROUP_BYTES = 32 * 1024 * 1024
 
 
-def read_raw(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Raw trips of any number of months in one scan, under one explicit schema."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    return spark.read.schema(S.RAW_SCHEMA).parquet(*paths)
+def read_raw(
+    spark: SparkSession, paths: str | Sequence[str], **more: Column
+) -> DataFrame:
+    """Raw trips of any number of months, under one explicit schema; ``more`` are columns
+    over the files' metadata.
+
+    One scan for all files that the schema can read, and one for each other layout.
+
+    Raises:
+        ValueError: a path holds no readable trip files.
+    """
+    groups, broken = by_layout(spark, [paths] if isinstance(paths, str) else list(paths))
+    for path, reason in broken.items():
+        raise ValueError(f"{path}: {reason}")
+    return read_groups(spark, groups, **more)
 
 
 def normalise_raw(df: DataFrame) -> DataFrame:

@@ -78,6 +78,30 @@ def test_overwrite_replaces_only_that_month(spark, folders):
     assert read_month(spark, archive, 2024, 11).count() == 3
 
 
+def test_overwrite_with_an_empty_month_drops_the_old_slice(spark, folders):
+    raw, archive = folders
+    for ym in ((2024, 11), (2024, 12)):
+        land(spark, raw, ym)
+    curbside.build_archive(spark, str(raw), archive, start=(2024, 11))
+    land(spark, raw, (2024, 12), PULocationID=2, DOLocationID=3)
+    report = curbside.build_archive(spark, str(raw), archive, start=(2024, 11), overwrite=True)
+    assert report.built == [(2024, 11)] and report.empty == [(2024, 12)]
+    assert load_all(spark, archive).count() == 3
+    with pytest.raises(FileNotFoundError):
+        read_month(spark, archive, 2024, 12)
+    land(spark, raw, (2024, 11), PULocationID=2, DOLocationID=3)
+    curbside.build_month(spark, str(raw), archive, 2024, 11, overwrite=True)
+    assert archived_months(spark, archive) == []
+
+
+def test_an_error_that_is_no_bad_file_is_raised(spark, folders):
+    raw, archive = folders
+    land(spark, raw, (2024, 11))
+    Path(archive).write_text("a file where the archive should be")
+    with pytest.raises(Exception, match="(?i)archive|parent|director|mkdirs"):
+        curbside.build_archive(spark, str(raw), archive, start=(2024, 11))
+
+
 def test_a_stray_pickup_stays_in_the_month_of_its_file(spark, folders):
     raw, archive = folders
     land(spark, raw, (2024, 11))
