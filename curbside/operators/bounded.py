@@ -59,21 +59,12 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The shared folder of this session: ``spark.checkpoint.dir``.
-
-    Only a local session may fall back to a temporary folder of its own; on a
-    cluster a machine-local folder would be lost with the machine.
-    """
+    """The shared folder of this session: ``spark.checkpoint.dir``. There is no fallback: a
+    machine-local folder would be lost with the machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    import tempfile
-
-    folder = tempfile.mkdtemp(prefix="curbside-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return configured
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

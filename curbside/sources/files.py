@@ -31,6 +31,18 @@ def raw_months(spark: SparkSession, raw_dir: str) -> list[YearMonth]:
     return sorted((int(m[1]), int(m[2])) for m in labels if m)
 
 
+def publish_months(spark: SparkSession, staging: str, label: str, raw_dir: str) -> None:
+    """Give the partitions of a written table the paths of raw months."""
+    for source in _glob(spark, f"{staging}/{label}=*"):
+        month = re.search(r"=(\d{4})-(\d{2})$", source)
+        if month:
+            path = spark._jvm.org.apache.hadoop.fs.Path
+            target = raw_path(raw_dir, (int(month[1]), int(month[2])))
+            fs = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+            if not fs.rename(path(source), path(target)):
+                raise OSError(f"cannot publish {target}")
+
+
 def slice_files(spark: SparkSession, archive: str, ym: YearMonth) -> set[str]:
     """Files of one month of the archive; none if it has no slice."""
     return set(_glob(spark, f"{archive}/year={ym[0]}/month={ym[1]}/*.parquet"))

@@ -8,18 +8,30 @@ so it outlives executors and is never shared between runs.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from curbside.operators.bounded import shared_folder
+from curbside.sources.files import publish_months
 
 
 def session_folder(spark: SparkSession, source: str) -> str:
+    """A new folder for each landing, so that none writes over files still being read."""
     key = hashlib.sha1(source.encode()).hexdigest()[:12]
-    return f"{shared_folder(spark)}/curbside/{spark.sparkContext.applicationId}/{key}"
+    app = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/curbside/{app}/{key}-{uuid.uuid4().hex[:8]}"
 
 
 def land(trips: DataFrame, folder: str) -> str:
     path = f"{folder}/raw"
     trips.write.mode("overwrite").parquet(path)
     return path
+
+
+def land_by_month(trips: DataFrame, staging: str, folder: str, label: str) -> str:
+    """One folder of part files per month in ``folder``, named as raw months are. ``label``
+    holds YYYY-MM; one job writes all months."""
+    trips.hint("rebalance", label).write.mode("overwrite").partitionBy(label).parquet(staging)
+    publish_months(trips.sparkSession, staging, label, folder)
+    return folder

@@ -140,6 +140,9 @@ STATEMENTS: dict[str, str] = {
     ),
     "s9_read_table": _table("coverage_timeline"),
     "s10_json_export": _table("market_share"),
+    "s12_built_archive": statement(f"select {RESTORED} from restored"),
+    "s13_archive_monthly_kpis": _neat("select * from archive_kpis", KPI),
+    "s13_archive_market_share": _table("market_share"),
     "s13_archive_months": statement(
         """select year(pickup_datetime)::int as year, month(pickup_datetime)::int as month,
              count(*) as trips from trips group by all"""
@@ -301,8 +304,7 @@ STATEMENTS: dict[str, str] = {
     ),
     "q15_panel_profile": _neat(_profile(PANEL_ROWS, PANEL_TYPES), PROFILE_DOUBLES),
     "q15_panel_histogram": statement(
-        f"select * from ({_histogram('trips')}) a union all select * from "
-        f"({_histogram('med_fare')}) b"
+        " union all ".join(f"select * from ({_histogram(c)}) x" for c, _ in PANEL_TYPES)
     ),
     "q53_headline": statement(
         f"""select sum(trips)::bigint as trips, count(distinct month) as months,

@@ -5,10 +5,11 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as entry_points
+from curbside.registry import QUERIES
+from oracle.statements import STATEMENTS
 from tests.compare import differences, duck
 
 SF_DIR = "/root/testdata/sf0.01"
-QUERIES, STATEMENTS = entry_points.queries(), entry_points.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +19,8 @@ def con():
 
 def test_every_query_has_a_statement():
     assert set(QUERIES) == set(STATEMENTS)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(STATEMENTS) <= set(entry_points.oracle_sql())
 
 
 def test_entry_runs(spark):
