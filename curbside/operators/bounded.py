@@ -27,14 +27,6 @@ def keep_listed(
     return joined.select(*df.columns)
 
 
-def drop_listed(
-    df: DataFrame, listed: DataFrame, on: str, max_rows: int | None = None
-) -> DataFrame:
-    """Anti-join: rows whose ``on`` value is not in the list."""
-    joined = df.join(small_side(listed.select(on), max_rows), on, "left_anti")
-    return joined.select(*df.columns)
-
-
 def join_groups(
     left: DataFrame,
     right: DataFrame,

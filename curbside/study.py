@@ -11,6 +11,9 @@ from curbside.plans import aggregates, economics, market, scoping
 from curbside.scope import AGGREGATE_TABLES, DEFAULT_SCOPE, Scope
 from curbside.sources.tables import check_format, read_table, write_tables
 
+#: Order of platform names; the sort columns are resolved when a session runs.
+BY_TRIPS = ("trips desc", "platform")
+
 
 def export_aggregates(
     trips: DataFrame, base: str, fmt: str = "parquet", group_rows: int | None = None
@@ -63,16 +66,16 @@ class Study:
 
     @cached_property
     def live_names(self) -> list[str]:
-        return scoping.names(self.live, "platform")
+        return scoping.names(self.live, "platform", *BY_TRIPS)
 
     @cached_property
     def census_names(self) -> list[str]:
-        return scoping.names(self.census, "platform")
+        return scoping.names(self.census, "platform", *BY_TRIPS)
 
     @cached_property
     def airport_names(self) -> list[str]:
-        return scoping.names(self.airports, "airport")
+        return scoping.names(self.airports, "airport", "airport")
 
     @cached_property
     def duo(self) -> list[str]:
-        return scoping.names(scoping.largest_two(self.census, self.live), "platform")
+        return scoping.names(scoping.largest_two(self.census, self.live), "platform", *BY_TRIPS)
