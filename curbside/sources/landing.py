@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from curbside.operators.bounded import shared_folder
 from curbside.sources.files import publish_months
 
+ROW_GROUP_BYTES = 8 * 1024 * 1024
+
 
 def session_folder(spark: SparkSession, source: str) -> str:
     """A new folder for each landing, so that none writes over files still being read."""
@@ -24,8 +26,10 @@ def session_folder(spark: SparkSession, source: str) -> str:
 
 
 def land(trips: DataFrame, folder: str) -> str:
+    """Written as the source is partitioned, without a shuffle; row groups are small enough
+    that even a single landed file is scanned by many tasks."""
     path = f"{folder}/raw"
-    trips.write.mode("overwrite").parquet(path)
+    trips.write.mode("overwrite").option("parquet.block.size", ROW_GROUP_BYTES).parquet(path)
     return path
 
 
