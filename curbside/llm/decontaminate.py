@@ -21,6 +21,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -197,7 +199,7 @@ def verdict_row(n: int, spans: np.ndarray, longest: int, names: list[str]) -> tu
 
 def benchmark_parts(benchmark: DataFrame, item: str, text: str, window: int, limit: int):
     """The benchmark in parts of at most ``limit`` bytes of text. One item above the limit is a
-    part by itself. Only one part at a time is on the driver."""
+    part by itself. At most two parts at a time are on the driver."""
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
     held, part = 0, []
     for row in items.toLocalIterator():
@@ -223,9 +225,9 @@ def contamination(
     """What of each document occurs in the benchmark; see the module text. ``hit_spans`` holds
     word positions, start and end alternating; ``longest_match`` is in words."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = list(benchmark_parts(benchmark, item, item_text, window, part_bytes))
-    if len(parts) == 1:
-        bench = parts[0]
+    parts = benchmark_parts(benchmark, item, item_text, window, part_bytes)
+    bench, second = next(parts), next(parts, None)
+    if second is None:
 
         def answer(batch: pa.RecordBatch) -> dict:
             rows = [
@@ -235,11 +237,12 @@ def contamination(
             return transposed(rows, VERDICT.names[1:]) | {"doc_id": batch.column("doc_id")}
 
         return map_batches(source, VERDICT, answer)
-    return _united(source, parts)
+    return _united(source, chain((bench, second), parts))
 
 
-def _united(source: DataFrame, parts: list[Benchmark]) -> DataFrame:
-    """Several parts: places found by each, united per document."""
+def _united(source: DataFrame, parts: Iterator[Benchmark]) -> DataFrame:
+    """Several parts: places found by each are written before the next is loaded, then united
+    per document."""
     keyed = written(source.withColumn("row", F.monotonically_increasing_id()), "decontaminate")
     found_type = (
         "row long, doc_id long, n_words long, longest long, "
@@ -259,9 +262,8 @@ def _united(source: DataFrame, parts: list[Benchmark]) -> DataFrame:
 
         return find
 
-    found = map_batches(keyed, found_type, finder(parts[0]))
-    for bench in parts[1:]:
-        found = found.unionAll(map_batches(keyed, found_type, finder(bench)))
+    searches = (map_batches(keyed, found_type, finder(bench)) for bench in parts)
+    found = reduce(DataFrame.unionAll, (written(search, "places") for search in searches))
     grouped = found.groupBy("row").agg(
         F.first("doc_id").alias("doc_id"),
         F.first("n_words").alias("n_words"),
@@ -284,19 +286,27 @@ def _united(source: DataFrame, parts: list[Benchmark]) -> DataFrame:
 
 
 def decontaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text"
+    docs: DataFrame,
+    benchmark: DataFrame,
+    window: int = WINDOW,
+    text: str = "text",
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """The documents that hold no window of the benchmark, with all their columns. Each part of
-    the benchmark filters what the parts before it left; nothing is shuffled."""
+    the benchmark filters what the parts before it left, which is written in between; nothing is
+    shuffled."""
     schema = docs.schema
-    for bench in benchmark_parts(benchmark, "item_id", "text", window, PART_BYTES):
 
-        def keep(
-            batches: Iterator[pa.RecordBatch], bench: Benchmark = bench
-        ) -> Iterator[pa.RecordBatch]:
+    def free_of(docs: DataFrame, bench: Benchmark) -> DataFrame:
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 found = searched(bench, batch.column(text).to_pylist())
                 yield batch.filter(pa.array([len(x[1]) == 0 for x in found], type=pa.bool_()))
 
-        docs = docs.mapInArrow(keep, schema)
+        return docs.mapInArrow(keep, schema)
+
+    parts = benchmark_parts(benchmark, "item_id", "text", window, part_bytes)
+    docs = free_of(docs, next(parts))
+    for bench in parts:
+        docs = free_of(written(docs, "decontaminate"), bench)
     return docs
