@@ -148,7 +148,7 @@ def test_contamination_matches_brute_force(spark, part_bytes):
     columns = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
     expected = brute_contamination(rows, items)
     assert sorted(map(tuple, found.select(columns).collect()), key=str) == expected
-    left = decontaminated(docs, bench)
+    left = decontaminated(docs, bench, part_bytes=part_bytes)
     assert left.columns == docs.columns
     assert left.count() == sum(not r[-1] for r in expected)
 
