@@ -9,10 +9,10 @@ checks group sizes first:
   that a task sees about ``TASK_ROWS`` rows; then each group's values are sorted as a
   plain double array and the middle is read off;
 * larger groups: their medians are found by repeated narrowing. Each round counts
-  the rows of the current value range in ``BUCKETS`` equal-width buckets (a
-  map-side combined count, at most ``BUCKETS`` rows per group and measure after the
-  shuffle) and keeps the bucket that holds the middle rank. When the range holds
-  few enough rows they are ranked directly. Only counts and range ends leave the
+  the rows of the current value range in buckets (a map-side combined count), first by
+  magnitude and then in ``BUCKETS`` equal widths, and keeps the bucket that holds the
+  middle rank. When the range holds few enough rows they are ranked directly, after six
+  rounds at most, whatever the values. Only counts and range ends leave the
   scan, so a hot group is spread over all tasks, and no row is dropped or sampled.
 
 Ordinary aggregates (counts, sums, means) combine map-side and need no such care.
@@ -20,8 +20,6 @@ Ordinary aggregates (counts, sums, means) combine map-side and need no such care
 
 from __future__ import annotations
 
-import sys
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -33,6 +31,8 @@ from curbside.operators.bounded import join_groups, settled
 GROUP_VALUES = 4_000_000
 TASK_ROWS = 1_000_000
 BUCKETS = 1024
+# Buckets of a range cut by magnitude, for each factor of two.
+OCTAVE = 128
 
 
 def grouped(
@@ -231,24 +231,27 @@ def _holds(rank: Column) -> Column:
 def _bucket() -> Column:
     """Bucket of a value in its range, in value order.
 
-    Infinities and NaN (which sorts last) have buckets of their own; the finite part of the
-    range is cut evenly, by halves where the span itself would overflow. The largest and the
-    smallest value of a range never share a bucket, so every round splits it.
+    A range of one sign within a factor of two is cut into equal widths. Any other is cut by
+    magnitude, each octave into ``OCTAVE`` parts, with buckets of their own for zero, the
+    infinities and NaN (which sorts last); what it keeps is narrow. So however far outliers
+    reach, one round by magnitude and then at most five by width separate any two doubles. The
+    ends of a range never share a bucket, so every round splits it.
     """
     v, lo, hi = F.col("__v"), F.col("lo"), F.col("hi")
-    least, most = F.lit(-sys.float_info.max), F.lit(sys.float_info.max)
-    low = F.when(lo == F.lit(float("-inf")), least).otherwise(F.least(lo, most))
-    high = F.when(hi > most, most).otherwise(F.greatest(hi, least))
-    wide = (high > F.lit(1e300)) | (low < F.lit(-1e300))
-    scale = F.when(wide, F.lit(0.5)).otherwise(F.lit(1.0))
-    span = high * scale - low * scale
-    position = F.when(span > 0, (v * scale - low * scale) / F.when(span > 0, span))
-    finite = F.least(F.floor(F.coalesce(position, F.lit(0.0)) * BUCKETS), F.lit(BUCKETS - 1))
+    infinite = F.lit(float("inf"))
+    narrow = ((lo > 0) & (hi <= 2 * lo) & (hi < infinite)) | (
+        (hi < 0) & (lo >= 2 * hi) & (lo > -infinite)
+    )
+    position = F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * BUCKETS)
+    by_width = F.least(F.coalesce(position, F.lit(0)), F.lit(BUCKETS - 1))
+    magnitude = F.floor(F.log2(F.abs(v)) * OCTAVE) + F.lit(1100 * OCTAVE)
     return (
-        F.when(F.isnan(v), F.lit(BUCKETS + 1))
-        .when(v == F.lit(float("inf")), F.lit(BUCKETS))
-        .when(v == F.lit(float("-inf")), F.lit(-1))
-        .otherwise(finite)
+        F.when(narrow, by_width)
+        .when(F.isnan(v), F.lit(3000 * OCTAVE))
+        .when(v == infinite, F.lit(2500 * OCTAVE))
+        .when(v == -infinite, F.lit(-2500 * OCTAVE))
+        .when(v == 0, F.lit(0))
+        .otherwise(F.when(v > 0, magnitude).otherwise(-magnitude))
     )
 
 

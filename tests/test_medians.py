@@ -106,3 +106,28 @@ def test_any_double_ends_and_equals_the_small_path(spark, odd):
         for limit in (1000, 10)
     ]
     assert str(found[0]) == str(found[1])
+
+
+@pytest.mark.parametrize("tail", [[], [1e300, -1e300], [1e-300, 5e-324], [float("inf"), 0.0]])
+def test_outliers_add_no_rounds(spark, monkeypatch, tail):
+    rounds = []
+    narrow = medians._narrow
+    monkeypatch.setattr(medians, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    rng = random.Random(3)
+    values = [rng.uniform(1, 1.001) for _ in range(3000)] + tail
+    df = spark.createDataFrame([("k", v) for v in values], "key string, x double")
+    found = grouped(df, ["key"], [], {"m": F.col("x")}, group_rows=10).first().m
+    assert found == pytest.approx(statistics.median(values), rel=1e-15)
+    assert len(rounds) <= 2
+
+
+def test_close_doubles_end_within_six_rounds(spark, monkeypatch):
+    rounds = []
+    narrow = medians._narrow
+    monkeypatch.setattr(medians, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
+    close = [1.0, 1.0 + 2**-52, 1.0 + 2**-51] * 20
+    values = [-1e308, 1e308, 1.5, 1.0 + 2**-20, 1.0 + 2**-40] + close
+    df = spark.createDataFrame([("k", v) for v in values], "key string, x double")
+    found = grouped(df, ["key"], [], {"m": F.col("x")}, group_rows=5).first().m
+    assert found == statistics.median(values)
+    assert len(rounds) <= 6
