@@ -289,6 +289,12 @@ def g2_hourly_profile(s: Source) -> DataFrame:
     return aggregates.hourly_profile(s.trips)
 
 
+@query
+def g2_hourly_profile_large_groups(s: Source) -> DataFrame:
+    """The same table with every group above 100 trips ranked by narrowing."""
+    return aggregates.hourly_profile(s.trips, group_rows=100)
+
+
 @query
 def g2_hourly_profile_all_directions(s: Source) -> DataFrame:
     return aggregates.hourly_profile(s.trips, direction="", valid_only=False)
@@ -299,6 +305,12 @@ def g3_incentive_breakdown(s: Source) -> DataFrame:
     return aggregates.incentive_breakdown(s.trips)
 
 
+@query
+def g3_incentive_breakdown_large_groups(s: Source) -> DataFrame:
+    """The same table with every group above 30 trips ranked by narrowing."""
+    return aggregates.incentive_breakdown(s.trips, group_rows=30)
+
+
 @query
 def g4_monthly_kpis(s: Source) -> DataFrame:
     return aggregates.monthly_kpis(s.trips)

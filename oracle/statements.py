@@ -181,7 +181,9 @@ STATEMENTS: dict[str, str] = {
                  from trips group by all) x""",
         f"{HOURLY} share_of_day",
     ),
+    "g2_hourly_profile_large_groups": _table("hourly_profile"),
     "g3_incentive_breakdown": _table("incentive_breakdown"),
+    "g3_incentive_breakdown_large_groups": _table("incentive_breakdown"),
     "g4_monthly_kpis": _table("monthly_kpis"),
     "g4_monthly_kpis_large_groups": _table("monthly_kpis"),
     "g5_data_quality": _table("data_quality"),
