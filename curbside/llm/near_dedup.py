@@ -4,13 +4,16 @@
 2. Every shingle of a text is a Poisson process whose rate is the shingle's count. Arrivals fall
    on random registers, and each register keeps the shingle that arrives first. A shingle stops
    as soon as its next arrival is later than the latest kept one. Two texts agree in a register
-   with the probability Jaccard similarity of their shingle weights.
-3. Registers are hashed in bands. In each bucket, texts are compared with the first one, then
+   with the probability Jaccard similarity of their shingle weights. Texts with repeated shingles
+   have a second set of registers with every count taken as 1, which agree with the set Jaccard
+   similarity. Without repeats both sets are the same.
+3. Registers of both kinds are hashed in bands of one bucket space. In each bucket, texts are compared with the first one, then
    linked texts are joined to components; buckets that still hold texts of several components
    are compared in blocks, which yields links only, never pairs.
 4. A link needs a similarity of 0.8: the exact probability Jaccard or set Jaccard, from texts.
 
-With 24 bands of four registers a pair at 0.8 is missed with probability 3e-6.
+With 24 bands of four registers a pair at 0.8, by either similarity, is missed with probability
+3e-6.
 
 Defined cases: fewer than five words are one shingle; a text without words (null, empty) is a
 class by itself; repeated rows are one class; of a class the smallest doc_id stays (a null id
@@ -110,6 +113,19 @@ def bands_of(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return out
 
 
+def buckets_of(sets: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> list[np.ndarray]:
+    """Distinct buckets of each weighted set: those of its counts and, where a count is above 1,
+    also those of the plain set. A link may rest on either similarity, and neither kind of band
+    finds the pairs of the other."""
+    out = list(bands_of(prob_minhash(sets, bands * rows), bands, rows).view(np.int64))
+    repeated = [i for i, (_, w) in enumerate(sets) if len(w) and w.max() > 1]
+    plain = [(sets[i][0], np.ones_like(sets[i][1])) for i in repeated]
+    more = bands_of(prob_minhash(plain, bands * rows), bands, rows).view(np.int64)
+    for i, b in zip(repeated, more, strict=True):
+        out[i] = np.union1d(out[i], b)
+    return out
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """The larger of set Jaccard and probability Jaccard of two weighted sets."""
     (x, u), (y, v) = a, b
@@ -139,8 +155,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -
         held, first = 0, 0
 
         def flush() -> dict:
-            registers = prob_minhash([s for _, s in done], bands * rows)
-            buckets = bands_of(registers, bands, rows).view(np.int64)
+            buckets = buckets_of([s for _, s in done], bands, rows)
             contents = [content(w) for w, _ in done]
             return {
                 "node": batch["node"].slice(first, len(done)),

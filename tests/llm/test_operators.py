@@ -420,6 +420,19 @@ def test_classes_match_brute_force(spark):
     assert {r.doc_id for r in found if r.kept} == {root(d) for d, _ in rows}
 
 
+def test_unequal_repeat_counts_are_one_class(spark):
+    rows = []
+    for g, (often, seldom) in enumerate([(200, 1), (50, 1), (100, 1), (200, 2)]):
+        passage, rest = prose(3000 + g, 100), prose(4000 + g, 900)
+        rows += [(10 * g + i, " ".join([*[passage] * n, rest])) for i, n in enumerate((often, seldom))]
+    sets = [s for _, s in weighted_sets([t for _, t in rows])]
+    for a, b in zip(sets[::2], sets[1::2], strict=True):
+        assert similarity(a, b) > 0.99
+    found = near_duplicates(documents(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {d: d - d % 10 for d, _ in rows}
+    assert {r.doc_id for r in found if r.kept} == {0, 10, 20, 30}
+
+
 def test_near_duplicates_of_odd_rows(odd, none):
     found = near_duplicates(odd).collect()
     assert len(found) == len(odd_rows())
