@@ -7,7 +7,8 @@ Nyström approximation, and kernel ridge regression is fitted on it, one languag
 rest. n-grams are those of the landmarks' alphabet, so texts of any length become a row of at
 most ``ALPHABET``^3 presences; kernels and scores of a batch are matrix products.
 
-Training rows are bounded (``PER_LANGUAGE`` for each language, chosen by the hash of their id);
+Training rows are bounded (``PER_LANGUAGE`` for each language, chosen by the hash of their id;
+rows of one language and id count once, by the text with the smallest hash);
 every whole text is scored where it is read.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as is every text if
@@ -132,25 +133,26 @@ def training_rows(
 ) -> list[tuple[str, str]]:
     """A bounded number of labelled rows of each language outside the held-out fold."""
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    learn = fold(doc_id, FOLDS) != HELD_OUT
+    source = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"),
+        F.col(text).alias("text"),
+    )
     chosen = (
-        docs.filter((fold(doc_id, FOLDS) != HELD_OUT) & F.col(lang).isNotNull())
-        .select(F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"))
+        source.select("id", "lang")
+        .distinct()
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= per_language)
-        .select("id")
-        .distinct()
+        .select("id", "lang")
     )
     rows = (
-        docs.select(
-            F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"),
-            F.col(text).alias("text"),
-        )
-        .filter("lang IS NOT NULL AND text IS NOT NULL")
-        .join(F.broadcast(chosen), "id", "left_semi")
-        .orderBy("lang", F.xxhash64("id"), "id", "text")
+        source.join(F.broadcast(chosen), ["id", "lang"], "left_semi")
+        .groupBy("id", "lang")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+        .orderBy("lang", F.xxhash64("id"), "id")
         .select("lang", "text")
         .collect()
-    )
+    )
     return [(r.lang, r.text) for r in rows if any(map(str.isalpha, r.text))]
 
 

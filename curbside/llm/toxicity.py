@@ -12,7 +12,8 @@ it, which keeps the classifier from fitting the unlabelled toxic documents. The
 share of toxic documents among the labelled ones.
 
 Training rows are bounded (``POSITIVES``, ``UNLABELLED``), chosen by the hash of their id, and
-turned into numbers where they are read. Every whole text is scored where it is read, with the
+turned into numbers where they are read. Rows of one id count once in training: the text with the
+smallest hash stands for the id. Every whole text is scored where it is read, with the
 weights alone sent to the tasks (``BINS`` doubles).
 
 Defined cases: a null or empty text has the score of a text without known words; a null id is
@@ -142,14 +143,29 @@ def train(
     return w[:BINS].copy(), float(w[BINS])
 
 
-def featurized(docs: DataFrame, text: str) -> list[np.ndarray]:
-    """Word numbers of a bounded frame of texts."""
+def featurized(docs: DataFrame, text: str, doc_id: str = "doc_id") -> list[np.ndarray]:
+    """Word numbers of a bounded sample, one text for each id, in ascending order of id. However
+    often an id repeats, each task passes on one row of it."""
 
     def bins(batch: pa.RecordBatch) -> dict:
-        return {"bins": [word_bins(t).tobytes() for t in batch["text"].to_pylist()]}
+        return {
+            "id": batch["id"],
+            "hash": batch["hash"],
+            "bins": [word_bins(t).tobytes() for t in batch["text"].to_pylist()],
+        }
 
-    rows = map_batches(docs.select(F.col(text).alias("text")), "bins binary", bins).collect()
-    return [np.frombuffer(r.bins, dtype=np.int32) for r in rows]
+    source = docs.select(
+        F.col(doc_id).cast("long").alias("id"),
+        F.xxhash64(text).alias("hash"),
+        F.col(text).alias("text"),
+    )
+    rows = (
+        map_batches(source, "id long, hash long, bins binary", bins)
+        .groupBy("id")
+        .agg(F.min_by("bins", F.struct("hash", "bins")).alias("bins"))
+        .collect()
+    )
+    return [np.frombuffer(r.bins, dtype=np.int32) for r in sorted(rows, key=lambda r: r.id)]
 
 
 def bounded_sample(ids: DataFrame, docs: DataFrame, n: int, doc_id: str) -> DataFrame:
@@ -173,8 +189,8 @@ def toxicity_model(
     prior = known.agg(F.avg(F.col(toxic).cast("double"))).first()[0]
     confirmed = known.filter(F.col(toxic) == 1).select(F.col(doc_id).cast("long").alias("id"))
     every = docs.filter(learn).select(F.col(doc_id).cast("long").alias("id"))
-    p = featurized(bounded_sample(confirmed, docs, positives, doc_id), text)
-    u = featurized(bounded_sample(every, docs, unlabelled, doc_id), text)
+    p = featurized(bounded_sample(confirmed, docs, positives, doc_id), text, doc_id)
+    u = featurized(bounded_sample(every, docs, unlabelled, doc_id), text, doc_id)
     if not p or not u or not 0 < prior < 1:
         share = min(max(prior or 0.0, 1e-9), 1 - 1e-9)
         return np.zeros(BINS), float(np.log(share / (1 - share)))

@@ -17,7 +17,7 @@ from curbside.llm import suffix_dedup
 from curbside.llm.credential_scan import credential_scan, redacted, scan_report
 from curbside.llm.decontaminate import contamination, decontaminated
 from curbside.llm.elias_fano import Sequence, encode
-from curbside.llm.language import language_ids
+from curbside.llm.language import language_ids, training_rows
 from curbside.llm.line_quality import line_quality, quality_filtered
 from curbside.llm.near_dedup import (
     block_links,
@@ -31,7 +31,7 @@ from curbside.llm.packing import packed, piece_lengths
 from curbside.llm.suffix_dedup import repeated_passages
 from curbside.llm.token_counts import CountingVocabulary, sentencepiece_vocabulary, token_counts
 from curbside.llm.token_files import read_tokens, write_tokens
-from curbside.llm.toxicity import toxicity
+from curbside.llm.toxicity import bounded_sample, featurized, toxicity
 from curbside.llm.wordcache import WordTokenizer
 from tests.llm.frames import documents, odd_rows, prose
 
@@ -262,6 +262,15 @@ def test_toxicity_of_odd_rows(odd, none, labels):
     assert toxicity(odd, labels.limit(0)).filter("predicted = 0").count() == len(odd_rows())
 
 
+def test_a_repeated_id_counts_once_in_toxicity_training(spark):
+    rows = [(i, prose(i, 20)) for i in range(6)] + [(3, prose(100 + i // 4, 20)) for i in range(80)]
+    ids = spark.createDataFrame([(i,) for i in range(6)], "id long")
+    docs = documents(spark, rows)
+    found = [featurized(bounded_sample(ids, d, 6, "doc_id"), "text") for d in (docs, docs.repartition(5))]
+    assert len(found[0]) == 6
+    assert all((a == b).all() for a, b in zip(*found, strict=True))
+
+
 # 6. language
 
 
@@ -281,6 +290,14 @@ def test_language_of_odd_rows(odd, none):
     assert language_ids(none).count() == 0
 
 
+def test_a_repeated_id_counts_once_in_language_training(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(i, prose(i, 9), "en") for i in ids] + [(i, prose(50 + i, 9), "de") for i in ids[:3]]
+    rows += [(hot, prose(200 + i // 4, 9), "en") for hot in ids for i in range(12)]
+    found = training_rows(documents(spark, rows), "doc_id", "text", "lang", 10)
+    assert [sum(lang == x for lang, _ in found) for x in ("en", "de")] == [10, 3]
+
+
 # 7. token files
 
 
