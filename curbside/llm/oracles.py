@@ -128,3 +128,49 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN counted USING (r)
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+numbered AS (
+  SELECT lang, row_number() OVER () AS id,
+         list_filter(string_split_regex(piece, '[ \t]+'), lambda x: x <> '') AS ws FROM pieces),
+words AS (SELECT lang, id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM numbered),
+places AS (
+  SELECT lang, w, lead(w) OVER piece AS w2, lead(w, 2) OVER piece AS w3
+  FROM words WINDOW piece AS (PARTITION BY id ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS k, w AS g, count(*)::HUGEINT AS f FROM places GROUP BY ALL
+  UNION ALL
+  SELECT lang, 2, w || ' ' || w2, count(*) FROM places WHERE w2 IS NOT NULL GROUP BY ALL
+  UNION ALL
+  SELECT lang, 3, w || ' ' || w2 || ' ' || w3, count(*) FROM places WHERE w3 IS NOT NULL GROUP BY ALL),
+total AS (SELECT lang, sum(f) AS n FROM grams WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT *, string_split(g, ' ') AS ws FROM grams WHERE k >= 2 AND f >= 10),
+parted AS (
+  SELECT lang, g, f, k, 1 AS cut, ws[1] AS head, array_to_string(list_slice(ws, 2, k), ' ') AS tail
+  FROM candidates
+  UNION ALL
+  SELECT lang, g, f, k, 2, array_to_string(list_slice(ws, 1, 2), ' '), ws[3] FROM candidates WHERE k = 3),
+cuts AS (
+  SELECT c.lang, c.g, c.f AS a, c.k AS size, cut, x.f AS l, y.f AS r,
+         (1000000 * c.f * c.f) // (x.f * y.f) AS score
+  FROM parted c JOIN grams x ON x.lang = c.lang AND x.g = c.head
+  JOIN grams y ON y.lang = c.lang AND y.g = c.tail),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(list_slice(ws, j, j + 1), ' ') AS g, max(f) AS longest
+  FROM (SELECT *, unnest([1, 2]) AS j FROM candidates WHERE k = 3) GROUP BY ALL),
+kept AS (
+  SELECT l.* FROM lowest l LEFT JOIN inside i ON i.lang = l.lang AND i.g = l.g AND l.size = 2
+  WHERE i.longest IS NULL OR 100 * i.longest < 50 * l.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT r.lang, rank::BIGINT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r,
+       n::BIGINT AS n, score::BIGINT AS score
+FROM ranked r JOIN total t ON t.lang = r.lang WHERE rank <= 2000
+"""

@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from curbside.llm import oracles
+from curbside.llm import bound_packing, oracles, turn_repair
+from curbside.llm.collocations import collocations
 from curbside.llm.common import scratch
 from curbside.llm.credential_scan import credential_scan, scan_report
 from curbside.llm.decontaminate import contamination
@@ -19,6 +20,7 @@ from curbside.llm.token_files import read_tokens, write_tokens
 from curbside.llm.toxicity import toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -73,6 +75,19 @@ def op10_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "class_id", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_bound_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bound_packing.packed(table(spark, sf_dir, "documents"), BYTE_BPE)
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = turn_repair.damaged(table(spark, sf_dir, "conversations"))
+    return turn_repair.repair_report(rows, "copies")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
@@ -84,10 +99,14 @@ QUERIES = {
     "op8_credential_scan": op8_credential_scan,
     "op9_token_counts": op9_token_counts,
     "op10_prob_minhash": op10_prob_minhash,
+    "op11_collocations": op11_collocations,
+    "op12_bound_packing": op12_bound_packing,
+    "op13_turn_repair": op13_turn_repair,
 }
 
 ORACLES = {
     "op2_decontaminate": oracles.DECONTAMINATE,
     "op3_line_quality": oracles.LINE_QUALITY,
     "op8_credential_scan": oracles.CREDENTIALS,
+    "op11_collocations": oracles.COLLOCATIONS,
 }
