@@ -10,8 +10,9 @@ assistant row 2; a truncated row that stays adds 1. Among edits of equal cost th
 of initials (D, I, K, R) wins.
 
 Survivor-coalescence Viterbi. Rows of a conversation stream through :class:`Repair` in order. It
-keeps the best path into each state of the grammar (start, after system, user, assistant) as a
-tree of back-pointers with reference counts. A branch that loses its last survivor is freed; as
+keeps the best path into each state of the grammar (start, after system, user, assistant), unless
+another state's path is better even after all it takes to do the same from there, as a tree of
+back-pointers with reference counts. A branch that loses its last survivor is freed; as
 soon as all survivors share an ancestor, everything up to it is final and leaves as edits, so
 memory holds only the rows that are still undecided, not the conversation. Tied paths are ranked
 by their whole undecided strings: after the same rows no path's string is a prefix of another's,
@@ -52,6 +53,14 @@ NEXT = {
     (USER, "a"): ASSISTANT, (ASSISTANT, "u"): USER,
 }
 ENDS = (START, ASSISTANT)
+#: What it costs at most to do from the first state whatever can be done from the second one: by
+#: inserting the rows that lead there, or by deleting a system row that is kept there.
+MIMIC = {
+    (START, SYSTEM): 0, (START, ASSISTANT): 0, (START, USER): 2,
+    (SYSTEM, USER): 2, (SYSTEM, START): 4, (SYSTEM, ASSISTANT): 4,
+    (USER, ASSISTANT): 2, (USER, SYSTEM): 2, (USER, START): 5,
+    (ASSISTANT, SYSTEM): 0, (ASSISTANT, USER): 2, (ASSISTANT, START): 3,
+}
 NAMES = {"u": "user", "a": "assistant"}
 REROLE, DELETE, INSERT, STAYS_TRUNCATED = 2, 3, 2, 1
 #: Rows written at a time.
@@ -118,6 +127,13 @@ class Repair:
                     key = (so_far + more, rank, "".join(e[0] for e in found))
                     if to not in best or key < best[to][0]:
                         best[to] = (key, node, found)
+        hopeless = [
+            to
+            for to, (key, *_) in best.items()
+            if any(key[0] > best[by][0][0] + MIMIC[by, to] for by in best if by != to)
+        ]
+        for to in hopeless:
+            del best[to]
         return self._survive(best)
 
     def end(self) -> tuple[int, list[Edit]]:
