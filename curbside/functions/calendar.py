@@ -100,12 +100,12 @@ def parse_month_labels(df: DataFrame, label: str) -> DataFrame:
     text = F.trim(F.col(label))
     shape = r"^\+?(\d+)\s*-\s*\+?(\d+)$"
     shaped = text.rlike(shape)
-    # decimal(38) holds any label a person types; longer digit runs are null here
-    # and fall out as a wrong month or year.
-    number = [
-        F.when(shaped, F.regexp_extract(text, shape, g)).try_cast("decimal(38,0)")
+    # Numbers without leading zeros; one of more digits than a year is in no range, however long.
+    digits = [
+        F.regexp_replace(F.when(shaped, F.regexp_extract(text, shape, g)), r"^0+(?=\d)", "")
         for g in (1, 2)
     ]
+    number = [F.when(F.length(d) <= 9, d).try_cast("int") for d in digits]
     month_ok = F.coalesce(number[1].between(1, 12), F.lit(False))
     year_ok = F.coalesce(number[0].between(FIRST_YEAR, LAST_YEAR), F.lit(False))
     error = (

@@ -15,21 +15,21 @@ from pyspark.sql import functions as F
 from curbside.functions.calendar import months
 from curbside.scope import DEFAULT_SCOPE, Scope, YearMonth
 from curbside.sources.files import (
+    RAW_LABEL,
     archived_months,
     drop_slice,
     exists,
     raw_months,
     raw_path,
     slice_files,
+    slice_path,
 )
-from curbside.sources.layouts import Groups, by_layout, read_groups
+from curbside.sources.footers import rows_by_path
+from curbside.sources.layouts import Groups, by_layout, examined, read_groups
 from curbside.sources.trips import derive_trips, normalise_raw, write_slim
 
 log = logging.getLogger(__name__)
 
-# Fixed value: the month label in the path of a raw file.
-RAW_LABEL = r"fhvhv_tripdata_(\d{4}-\d{2})\.parquet"
-
 
 @dataclass
 class BuildReport:
@@ -40,6 +40,9 @@ class BuildReport:
     empty: list[YearMonth] = field(default_factory=list)  # built, but no airport trip
     missing: list[YearMonth] = field(default_factory=list)
     failed: dict[YearMonth, str] = field(default_factory=dict)
+    # Rows of the raw files of each month, and of its slice, from footers: no scan counts them.
+    read: dict[YearMonth, int] = field(default_factory=dict)
+    kept: dict[YearMonth, int] = field(default_factory=dict)
 
     @property
     def available(self) -> list[YearMonth]:
@@ -104,7 +107,7 @@ def build_month(
         if broken:
             raise ValueError(f"{path}: {broken[path]}")
         _replace(spark, groups, archive, [ym], scope)
-    return f"{archive}/year={year}/month={month}"
+    return slice_path(archive, ym)
 
 
 def build_archive(
@@ -148,7 +151,8 @@ def build_months(
     A month without airport trips leaves no slice (and is tried again next time).
     """
     paths = {ym: raw_path(raw_dir, ym) for ym in todo}
-    groups, broken = by_layout(spark, list(paths.values()))
+    groups, broken, rows = examined(spark, list(paths.values()))
+    report.read.update({ym: rows[path] for ym, path in paths.items() if path in rows})
     for ym, path in paths.items():
         if path in broken:
             log.warning("failed %d-%02d: %s", *ym, broken[path])
@@ -160,6 +164,9 @@ def build_months(
     written = set(archived_months(spark, archive))
     report.built.extend(sorted(ym for ym in good if ym in written))
     report.empty.extend(sorted(ym for ym in good if ym not in written))
+    slices = {slice_path(archive, ym): ym for ym in good if ym in written}
+    kept = rows_by_path(spark, list(slices)).collect()
+    report.kept.update(dict.fromkeys(report.empty, 0) | {slices[r.path]: r.rows for r in kept})
 
 
 def stamp_by_pickup(raw: DataFrame) -> DataFrame:

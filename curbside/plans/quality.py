@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside.functions.calendar import iso_weekday
 from curbside.functions.numeric import rate, row_count, safe_ratio
-from curbside.operators.bounded import keep_listed
+from curbside.operators.bounded import keep_listed, small_side
 from curbside.operators.medians import grouped
 from curbside.operators.shape import DIRECTIONS, pivot_values
 from curbside.plans.scoping import max_active
-from curbside.scope import DEFAULT_SCOPE, Scope
+from curbside.scope import AGGREGATE_TABLES, DEFAULT_SCOPE, Scope
+from curbside.sources.files import RAW_LABEL, raw_months, raw_path
+from curbside.sources.footers import footers, rows_by_path, time_span
 
 # Columns profiled in the raw month.
 PROFILE_COLUMNS = (
@@ -254,22 +257,40 @@ def cleaning_effect(naive: DataFrame, cleaned: DataFrame) -> DataFrame:
         F.col("trips").alias("trips_clean"),
         F.col("med_gross_per_hr").alias("med_gross_per_hr_clean"),
     )
-    return (
-        naive.join(after, ["airport", "platform"], "inner")
-        .select(
-            "airport",
-            "platform",
-            "trips",
-            "trips_clean",
-            (F.col("trips_clean") - F.col("trips")).alias("trips_delta"),
-            "med_gross_per_hr",
-            "med_gross_per_hr_clean",
-            (F.col("med_gross_per_hr_clean") - F.col("med_gross_per_hr")).alias(
-                "gross_per_hr_delta"
-            ),
-        )
-        .orderBy("airport", "platform")
-    )
+    return _effect(naive.join(after, ["airport", "platform"], "inner"))
+
+
+def _effect(both: DataFrame) -> DataFrame:
+    """Figures before and after with their differences."""
+    return both.select(
+        "airport",
+        "platform",
+        "trips",
+        "trips_clean",
+        (F.col("trips_clean") - F.col("trips")).alias("trips_delta"),
+        "med_gross_per_hr",
+        "med_gross_per_hr_clean",
+        (F.col("med_gross_per_hr_clean") - F.col("med_gross_per_hr")).alias("gross_per_hr_delta"),
+    ).orderBy("airport", "platform")
+
+
+def effect_of_cleaning(
+    trips: DataFrame, live: DataFrame, scope: Scope = DEFAULT_SCOPE, *, group_rows: int | None = None
+) -> DataFrame:
+    """:func:`cleaning_effect` of :func:`clean_trips`, from one group-by instead of two: a trip
+    that cleaning drops counts for the figures before it only."""
+    listed = small_side(live.select("platform", F.lit(True).alias("__live")), max_active(scope))
+    market = ~F.col("direction").isin(*scope.non_market_directions)
+    kept = F.coalesce(F.col("is_valid") & market & F.col("__live"), F.lit(False))
+    per_hour = F.col("driver_gross_per_engaged_hour")
+    both = grouped(
+        trips.join(listed, "platform", "left"),
+        ["airport", "platform"],
+        [row_count().alias("trips"), F.count_if(kept).alias("trips_clean")],
+        {"med_gross_per_hr": per_hour, "med_gross_per_hr_clean": F.when(kept, per_hour)},
+        group_rows=group_rows,
+    ).where("trips_clean > 0 and airport is not null")
+    return _effect(both)
 
 
 def exploration_frame(clean: DataFrame) -> DataFrame:
@@ -339,3 +360,28 @@ def table_inventory(tables: dict[str, DataFrame]) -> DataFrame:
         for name, df in tables.items()
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+def stored_inventory(spark: SparkSession, base: str, names: Sequence[str] = AGGREGATE_TABLES) -> DataFrame:
+    """:func:`table_inventory` of exported Parquet tables, from their footers alone."""
+    found = footers(spark, [f"{base}/{name}" for name in names])
+    return found.groupBy(F.element_at(F.split("path", "/"), -1).alias("table")).agg(
+        F.sum("rows").alias("rows"), F.max(F.size("columns")).alias("cols")
+    )
+
+
+def stored_span(spark: SparkSession, archive: str) -> DataFrame:
+    """:func:`pickup_span` of an archive, from the footers of its slices."""
+    return time_span(spark, [archive], "pickup_datetime").select(
+        F.col("first").alias("first_pickup"), F.col("last").alias("last_pickup")
+    )
+
+
+def stored_months(spark: SparkSession, raw_dir: str) -> DataFrame:
+    """Files and rows of each raw month, and files that cannot be read, from footers alone."""
+    months = raw_months(spark, raw_dir)
+    found = rows_by_path(spark, [raw_path(raw_dir, ym) for ym in months])
+    label = F.regexp_extract("path", RAW_LABEL, 1)
+    return found.select(
+        F.to_timestamp_ntz(F.concat(label, F.lit("-01"))).alias("month"), "files", "faulty", "rows"
+    )

@@ -14,13 +14,14 @@ from curbside.functions import calendar, text, trip
 from curbside.operators.medians import grouped
 from curbside.plans import aggregates, economics, ingest, market, quality, scorecard, scoping
 from curbside.scope import AGGREGATE_TABLES, Scope
-from curbside.sources.files import archived_months
+from curbside.sources.files import archived_months, raw_months, raw_path
 from curbside.sources.landing import land, land_by_month, session_folder
 from curbside.sources.tables import read_table, write_tables
 from curbside.sources.trips import (
     add_ratios,
     derive_trips,
     load_all,
+    load_recent,
     normalise_raw,
     read_month,
     read_raw,
@@ -28,7 +29,7 @@ from curbside.sources.trips import (
     write_slim,
 )
 from curbside.study import Study, export_aggregates
-from oracle.trip_relation import RAW_TRIPS_SQL
+from curbside.trip_relation import RAW_TRIPS_SQL
 
 # The computed trips run from 1995 to 2001, so the calendar parameters differ from
 # the default study; every other constant is the default.
@@ -76,6 +77,16 @@ class Source:
     def archive(self) -> str:
         return _archive(self)
 
+    @property
+    def large_groups(self) -> str:
+        """The six tables of an export that narrows every bracket."""
+        return _large_groups(self)
+
+    @property
+    def mixed(self) -> str:
+        """Monthly raw files whose part files differ in layout within a month."""
+        return _mixed(self)
+
     @property
     def built(self) -> str:
         """The archive that the build makes of monthly raw files."""
@@ -104,6 +115,33 @@ def _archive(src: Source) -> str:
     return write_slim(stamped, f"{src.folder}/archive")
 
 
+@lru_cache(maxsize=8)
+def _large_groups(src: Source) -> str:
+    base = f"{src.folder}/tables-large-groups"
+    export_aggregates(src.trips, base, group_rows=3)
+    return base
+
+
+def _other_layout(raw: DataFrame) -> DataFrame:
+    """Raw trips as another writer stores them."""
+    return raw.withColumns(
+        {
+            "PULocationID": F.col("PULocationID").cast("double"),
+            "DOLocationID": F.col("DOLocationID").cast("int"),
+            "trip_time": F.col("trip_time").cast("decimal(12,0)"),
+        }
+    )
+
+
+@lru_cache(maxsize=8)
+def _mixed(src: Source) -> str:
+    raw = src.raw.withColumn("label", F.date_format("pickup_datetime", "yyyy-MM"))
+    odd = F.hour("pickup_datetime") % 2 == 1
+    folder = f"{src.folder}/mixed"
+    parts = [raw.where(~odd), _other_layout(raw.where(odd))]
+    return land_by_month(parts, f"{folder}/staged", folder, "label")
+
+
 @lru_cache(maxsize=8)
 def _built(src: Source) -> str:
     """Land the trips as monthly files, those of odd years in another layout (as from a
@@ -112,15 +150,8 @@ def _built(src: Source) -> str:
     raw = src.raw.withColumn("label", F.date_format("pickup_datetime", "yyyy-MM"))
     odd = F.year("pickup_datetime") % 2 == 1
     folder, archive = f"{src.folder}/monthly", f"{src.folder}/built"
-    land_by_month(raw.where(~odd), f"{folder}/even", folder, "label")
-    other = raw.where(odd).withColumns(
-        {
-            "PULocationID": F.col("PULocationID").cast("double"),
-            "DOLocationID": F.col("DOLocationID").cast("int"),
-            "trip_time": F.col("trip_time").cast("decimal(12,0)"),
-        }
-    )
-    land_by_month(other, f"{folder}/odd", folder, "label")
+    land_by_month([raw.where(~odd)], f"{folder}/even", folder, "label")
+    land_by_month([_other_layout(raw.where(odd))], f"{folder}/odd", folder, "label")
     first = ingest.build_archive(
         src.spark, folder, archive, start=SCOPE.archive_start, end=SCOPE.sample_month, scope=SCOPE
     )
@@ -182,6 +213,13 @@ def s2_tolerant_projection(s: Source) -> DataFrame:
     )
 
 
+@row_query
+def s2_mixed_part_files(s: Source) -> DataFrame:
+    """Every month in two layouts, file by file."""
+    paths = [raw_path(s.mixed, ym) for ym in raw_months(s.spark, s.mixed)]
+    return derive_trips(read_raw(s.spark, paths), SCOPE)
+
+
 @row_query
 def s4_slim_slices(s: Source) -> DataFrame:
     return slim_for_storage(s.trips)
@@ -248,6 +286,12 @@ def s13_archive_market_share(s: Source) -> DataFrame:
     return s.built_study.share
 
 
+@row_query
+def s16_month_rows(s: Source) -> DataFrame:
+    """Rows of each raw month, from footers; no column is read."""
+    return quality.stored_months(s.spark, s.mixed).select("month", "rows", "faulty")
+
+
 @query
 def s14_months_to_build(s: Source) -> DataFrame:
     """Planned months from a year before the data to a year after, less those present."""
@@ -342,6 +386,17 @@ for _name in AGGREGATE_TABLES:
     _exported(_name)
 
 
+def _exported_with_large_groups(name: str) -> None:
+    """The same export where every bracket of over 3 values counts as too large to rank."""
+    QUERIES[f"s11_large_groups_{name}"] = lambda spark, sf_dir: neat(
+        read_table(spark, source(spark, sf_dir).large_groups, name)
+    )
+
+
+for _name in AGGREGATE_TABLES:
+    _exported_with_large_groups(_name)
+
+
 # --- expressions and predicates (P, F) -----------------------------------------
 
 
@@ -406,6 +461,12 @@ def f5_clean_pickups(s: Source) -> DataFrame:
     )
 
 
+@row_query
+def f7_recent_trips(s: Source) -> DataFrame:
+    """Trips of the last months; only slices that reach into them are scanned."""
+    return load_recent(s.spark, s.archive, SCOPE.recent_window_months)
+
+
 @query
 def f7_recent_months(s: Source) -> DataFrame:
     """KPI rows of the scorecard window."""
@@ -496,6 +557,12 @@ def q10_cleaned_summary(s: Source) -> DataFrame:
 
 @query
 def q10_cleaning_effect(s: Source) -> DataFrame:
+    return quality.effect_of_cleaning(s.trips, s.study.live, SCOPE)
+
+
+@query
+def q10_cleaning_effect_of_summaries(s: Source) -> DataFrame:
+    """The same from two summaries."""
     naive = quality.airport_platform_summary(s.trips)
     clean = quality.clean_trips(s.trips, s.study.live, SCOPE)
     return quality.cleaning_effect(naive, quality.airport_platform_summary(clean))
@@ -550,6 +617,18 @@ def q53_table_inventory(s: Source) -> DataFrame:
     return quality.table_inventory(s.study.tables)
 
 
+@row_query
+def q53_stored_inventory(s: Source) -> DataFrame:
+    """The same from the footers of the exported tables."""
+    return quality.stored_inventory(s.spark, s.study.base)
+
+
+@row_query
+def q54_stored_span(s: Source) -> DataFrame:
+    """The span of the archive, from the footers of its slices."""
+    return quality.stored_span(s.spark, s.archive)
+
+
 @query
 def q54_pickup_span(s: Source) -> DataFrame:
     return quality.pickup_span(s.trips)

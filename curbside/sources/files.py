@@ -8,6 +8,9 @@ from pyspark.sql import SparkSession
 
 from curbside.scope import YearMonth
 
+# Fixed value: the month label in the path of a raw file.
+RAW_LABEL = r"fhvhv_tripdata_(\d{4}-\d{2})\.parquet"
+
 
 def _glob(spark: SparkSession, pattern: str) -> list[str]:
     path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
@@ -43,13 +46,23 @@ def publish_months(spark: SparkSession, staging: str, label: str, raw_dir: str)
                 raise OSError(f"cannot publish {target}")
 
 
+def slice_path(archive: str, ym: YearMonth) -> str:
+    """The folder of one month of the archive."""
+    return f"{archive}/year={ym[0]}/month={ym[1]}"
+
+
 def slice_files(spark: SparkSession, archive: str, ym: YearMonth) -> set[str]:
     """Files of one month of the archive; none if it has no slice."""
-    return set(_glob(spark, f"{archive}/year={ym[0]}/month={ym[1]}/*.parquet"))
+    return set(_glob(spark, f"{slice_path(archive, ym)}/*.parquet"))
 
 
 def drop_slice(spark: SparkSession, archive: str, ym: YearMonth) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{archive}/year={ym[0]}/month={ym[1]}")
+    delete(spark, slice_path(archive, ym))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbside import schema as S
 from curbside.functions import trip as X
-from curbside.functions.calendar import elapsed_seconds
+from curbside.functions.calendar import elapsed_seconds, month_add, naive
 from curbside.scope import DEFAULT_SCOPE, Scope, YearMonth
 from curbside.sources.files import archived_months
+from curbside.sources.footers import footers, time_span
 from curbside.sources.layouts import by_layout, read_groups
 
+EPOCH = datetime(1970, 1, 1)
 ZSTD_LEVEL = 9
 # A row group of about a quarter million 25-column rows.
 ROW_GROUP_BYTES = 32 * 1024 * 1024
@@ -28,7 +31,7 @@ def read_raw(
     One scan for all files that the schema can read, and one for each other layout.
 
     Raises:
-        ValueError: a path holds no readable trip files.
+        ValueError: a path holds no readable trip files, or one that cannot be read.
     """
     groups, broken = by_layout(spark, [paths] if isinstance(paths, str) else list(paths))
     for path, reason in broken.items():
@@ -146,14 +149,20 @@ def write_slim(trips: DataFrame, archive: str) -> str:
     return archive
 
 
-def _read_slices(spark: SparkSession, archive: str) -> DataFrame:
+def read_slices(
+    spark: SparkSession, archive: str, only: Sequence[YearMonth] | None = None
+) -> DataFrame:
+    """The archive with ratios recomputed and the slice of each trip; ``only`` prunes partitions."""
     # "month" as a partition number would collide with the month-start column of
     # the aggregates, so the partition columns are prefixed on read.
-    return add_ratios(
+    df = add_ratios(
         spark.read.schema(S.ARCHIVE_SCHEMA)
         .parquet(archive)
         .withColumnsRenamed({"year": "slice_year", "month": "slice_month"})
     )
+    if only is None:
+        return df
+    return df.where((F.col("slice_year") * 100 + F.col("slice_month")).isin([y * 100 + m for y, m in only]))
 
 
 def load_all(
@@ -163,7 +172,7 @@ def load_all(
     end: YearMonth | None = None,
 ) -> DataFrame:
     """The archive with ratios recomputed; a month range prunes partitions."""
-    df = _read_slices(spark, archive)
+    df = read_slices(spark, archive)
     index = F.col("slice_year") * 12 + F.col("slice_month")
     if start is not None:
         df = df.where(index >= start[0] * 12 + start[1])
@@ -172,6 +181,47 @@ def load_all(
     return df.drop("slice_year", "slice_month")
 
 
+def load_recent(spark: SparkSession, archive: str, window: int) -> DataFrame:
+    """Trips of the last ``window`` months, ending at the newest month with a pickup.
+
+    Footers tell the newest pickup and which slices reach into the window, stray pickups
+    included, so only those partitions are scanned; within them the pickup time is compared, which
+    is pushed into the scan. A window of zero or less keeps nothing.
+    """
+    place = r"year=(\d+)/month=(\d+)/[^/]*$"
+    highest = F.col("highest")["pickup_datetime"]
+    # One row for each slice. A file that does not tell its range may hold anything.
+    slices = (
+        footers(spark, [archive])
+        .select(
+            *[F.regexp_extract("file", place, i).cast("int").alias(c) for i, c in ((1, "year"), (2, "month"))],
+            highest.alias("highest"),
+            (highest.isNull() & (F.col("rows") > 0)).alias("silent"),
+        )
+        .groupBy("year", "month")
+        .agg(F.max("highest").alias("highest"), F.max("silent").alias("silent"))
+        .collect()
+    )
+    if any(s.silent for s in slices):
+        newest = time_span(spark, [archive], "pickup_datetime").first()["last"]
+    else:
+        known = [s.highest for s in slices if s.highest is not None]
+        newest = EPOCH + timedelta(microseconds=max(known)) if known else None
+    if newest is None or window <= 0:
+        return load_all(spark, archive).limit(0)
+    start = datetime(*month_add((newest.year, newest.month), 1 - window), 1)
+    reaching = [
+        (s.year, s.month)
+        for s in slices
+        if s.silent or (s.highest is not None and EPOCH + timedelta(microseconds=s.highest) >= start)
+    ]
+    return (
+        read_slices(spark, archive, reaching)
+        .where(F.col("pickup_datetime") >= naive(start))
+        .drop("slice_year", "slice_month")
+    )
+
+
 def read_month(spark: SparkSession, archive: str, year: int, month: int) -> DataFrame:
     """One month at trip level, by partition pruning.
 
@@ -181,7 +231,7 @@ def read_month(spark: SparkSession, archive: str, year: int, month: int) -> Data
     if (year, month) not in archived_months(spark, archive):
         raise FileNotFoundError(f"{archive}: month {year}-{month:02d} not found, build it first")
     return (
-        _read_slices(spark, archive)
+        read_slices(spark, archive)
         .where((F.col("slice_year") == year) & (F.col("slice_month") == month))
         .drop("slice_year", "slice_month")
     )

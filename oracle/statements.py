@@ -120,6 +120,7 @@ STATEMENTS: dict[str, str] = {
            from trips group by platform""",
         "med_rider_total",
     ),
+    "s2_mixed_part_files": statement("select * exclude (month, hour) from trips"),
     "s4_slim_slices": statement(
         "select " + SLICE.replace("PULocationID, DOLocationID", "PULocationID::smallint as PULocationID, DOLocationID::smallint as DOLocationID")
         .replace("trip_time,", "trip_time::int as trip_time,")
@@ -147,6 +148,10 @@ STATEMENTS: dict[str, str] = {
         """select year(pickup_datetime)::int as year, month(pickup_datetime)::int as month,
              count(*) as trips from trips group by all"""
     ),
+    "s16_month_rows": statement(
+        """select date_trunc('month', pickup_datetime)::timestamp as month, count(*)::bigint as rows,
+             0::bigint as faulty from raw group by all"""
+    ),
     "s14_months_to_build": statement(
         """select month::timestamp as month from (
              select unnest(generate_series(date_trunc('month', min(pickup_datetime))::timestamp
@@ -189,6 +194,7 @@ STATEMENTS: dict[str, str] = {
     "g5_data_quality": _table("data_quality"),
     "g6_market_share": _table("market_share"),
     **{f"s11_shared_scan_{name}": _table(name) for name in TABLES},
+    **{f"s11_large_groups_{name}": _table(name) for name in TABLES},
     "p14_calendar_parts": statement(
         """select year(pickup_datetime)::int as year, month(pickup_datetime)::int as month_number,
              strftime(pickup_datetime, '%b') as calendar_month,
@@ -219,6 +225,11 @@ STATEMENTS: dict[str, str] = {
         """select pickup_datetime, airport, platform, base_passenger_fare, driver_share from clean
            where direction = 'pickup' and airport in (select airport from dispatch)"""
     ),
+    "f7_recent_trips": statement(
+        f"""select {RESTORED} from restored
+            where pickup_datetime >= (select date_trunc('month', max(pickup_datetime))::timestamp
+              from restored) - interval 9 month"""
+    ),
     "f7_recent_months": statement(
         """select month, airport, platform, direction, trips from kpis
            where month > (select max(month) from kpis) - interval 10 month"""
@@ -270,7 +281,7 @@ STATEMENTS: dict[str, str] = {
     ),
     "q9_dispatch_airports": statement("select airport from dispatch"),
     "q10_cleaned_summary": _neat(f"{SUMMARY} from clean group by all", SUMMARY_DOUBLES),
-    "q10_cleaning_effect": _neat(
+    "q10_cleaning_effect": (EFFECT := _neat(
         f"""select n.airport, n.platform, n.trips, c.trips as trips_clean,
               c.trips - n.trips as trips_delta, n.med_gross_per_hr,
               c.med_gross_per_hr as med_gross_per_hr_clean,
@@ -278,7 +289,8 @@ STATEMENTS: dict[str, str] = {
             from ({SUMMARY} from trips group by all) n
             join ({SUMMARY} from clean group by all) c using (airport, platform)""",
         "med_gross_per_hr med_gross_per_hr_clean gross_per_hr_delta",
-    ),
+    )),
+    "q10_cleaning_effect_of_summaries": EFFECT,
     "q11_funnel": _neat(
         """select step, rows, rows / nullif((select count(*) from trips), 0) as share_of_raw from (
              select 'raw' as step, count(*) as rows from trips
@@ -319,7 +331,7 @@ STATEMENTS: dict[str, str] = {
               {_ROWS} as aggregate_rows, 6::int as tables
             from share"""
     ),
-    "q53_table_inventory": statement(
+    "q53_table_inventory": (INVENTORY := statement(
         " union all ".join(
             f"""select '{name}' as "table", count(*) as rows, {cols}::int as cols
             from {TABLES[name][0]}"""
@@ -328,11 +340,13 @@ STATEMENTS: dict[str, str] = {
                 ("incentive_breakdown", 11), ("coverage_timeline", 4), ("data_quality", 9),
             )
         )
-    ),
-    "q54_pickup_span": statement(
+    )),
+    "q53_stored_inventory": INVENTORY,
+    "q54_pickup_span": (SPAN := statement(
         """select min(pickup_datetime) as first_pickup, max(pickup_datetime) as last_pickup
            from trips"""
-    ),
+    )),
+    "q54_stored_span": SPAN,
     "q55_quality_review": statement(
         "select *, "
         + ", ".join(

@@ -12,7 +12,7 @@ from curbside.plans import ingest
 from curbside.schema import RAW_SCHEMA
 from curbside.sources.files import archived_months, raw_path
 from curbside.sources.tables import read_table, write_tables
-from curbside.sources.trips import load_all, read_month, scan_airport_trips
+from curbside.sources.trips import load_all, load_recent, read_month, scan_airport_trips
 from tests.frames import BASE, raw_trips
 
 
@@ -64,6 +64,36 @@ def test_a_month_without_airport_trips_is_reported_empty(spark, folders):
     assert report.built == [(2024, 11)] and report.empty == [(2024, 12)]
 
 
+def test_reports_carry_the_rows_read_and_kept(spark, folders):
+    raw, archive = folders
+    land(spark, raw, (2024, 11), n=4)
+    land(spark, raw, (2024, 12), PULocationID=2, DOLocationID=3)
+    Path(raw_path(str(raw), (2025, 1))).write_bytes(b"PAR1 this is not parquet PAR1")
+    report = curbside.build_archive(spark, str(raw), archive, start=(2024, 11))
+    assert report.read == {(2024, 11): 4, (2024, 12): 3}
+    assert report.kept == {(2024, 11): 4, (2024, 12): 0}
+    assert load_all(spark, archive).count() == 4
+
+
+def test_recent_trips_scan_only_slices_that_reach_the_window(spark, folders):
+    raw, archive = folders
+    for ym in ((2024, 9), (2024, 10), (2024, 11), (2024, 12)):
+        land(spark, raw, ym)
+    # A stray pickup of December in the slice of September.
+    land(spark, raw, (2024, 9), pickup_datetime=datetime(2024, 12, 31, 23, 0))
+    curbside.build_archive(spark, str(raw), archive, start=(2024, 9))
+    for window, n in ((1, 6), (2, 9), (4, 12), (40, 12), (0, 0), (-1, 0)):
+        found = load_recent(spark, archive, window)
+        months = [(r.y, r.m) for r in found.select(F.year("pickup_datetime").alias("y"), F.month("pickup_datetime").alias("m")).collect()]  # noqa: E501
+        assert len(months) == n, window
+        assert all(12 - m < window for _, m in months)
+    plan = load_recent(spark, archive, 1)._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line)
+    pruned, pushed = scan.split("PartitionFilters: ")[1].split("PushedFilters: ")
+    assert "202409" in pruned and "202412" in pruned and "202410" not in pruned
+    assert "GreaterThanOrEqual(pickup_datetime" in pushed
+
+
 def test_overwrite_replaces_only_that_month(spark, folders):
     raw, archive = folders
     for ym in ((2024, 11), (2024, 12)):
