@@ -1,19 +1,23 @@
-"""Group-by with exact medians that stay exact and bounded at any group size.
+"""Group-by with exact medians that stay exact and bounded at any group size, in two scans.
 
 Spark's ``median()`` keeps a map of every distinct value of a group in one task. At
 trip scale that is neither fast (maps are serialised entry by entry) nor safe (one
-platform at one airport may hold a third of a trillion trips). :func:`grouped`
-checks group sizes first:
-
-* all groups within ``GROUP_VALUES`` (rows times measures): one shuffle on the keys, into enough partitions
-  that a task sees about ``TASK_ROWS`` rows; then each group's values are sorted as a
-  plain double array and the middle is read off;
-* larger groups: their medians are found by repeated narrowing. Each round counts
-  the rows of the current value range in buckets (a map-side combined count), first by
-  magnitude and then in ``BUCKETS`` equal widths, and keeps the bucket that holds the
-  middle rank. When the range holds few enough rows they are ranked directly, after six
-  rounds at most, whatever the values. Only counts and range ends leave the
-  scan, so a hot group is spread over all tasks, and no row is dropped or sampled.
+platform at one airport may hold a third of a trillion trips). :func:`grouped` takes the
+same steps for groups of any size:
+
+1. One scan gives all ordinary aggregates and, for each measure, its count, its ends and a
+   mergeable quantile sketch. The sketch gives a bracket around the middle of the group.
+2. A second scan counts the values below the bracket and, value by value, those inside it; both
+   combine on the map side. Only this small table is kept.
+3. The middle ranks are picked from it. A bracket of more than ``GROUP_VALUES`` different
+   values is narrowed first, round by round, without another scan of the rows.
+
+A sketch is an estimate, so the counts decide: where the middle ranks are not inside the
+bracket, or where a value is NaN (which sketches leave out), the range from end to end is
+narrowed instead, over the rows: each round counts the rows of the current range in buckets,
+first by magnitude and then in ``BUCKETS`` equal widths, and keeps the bucket that holds the
+middle rank; six rounds at most, whatever the values. No group is gathered, so a hot one is
+spread over all tasks, and no row is dropped or sampled.
 
 Ordinary aggregates (counts, sums, means) combine map-side and need no such care.
 """
@@ -27,12 +31,15 @@ from pyspark.sql import functions as F
 from curbside.functions.numeric import row_count
 from curbside.operators.bounded import join_groups, settled
 
-# Values one task may hold for one group: about 100 MB while they are gathered.
-GROUP_VALUES = 4_000_000
-TASK_ROWS = 1_000_000
+# Different values of one group and measure that one task may rank.
+GROUP_VALUES = 1_000_000
 BUCKETS = 1024
 # Buckets of a range cut by magnitude, for each factor of two.
 OCTAVE = 128
+# Size of the sketch, and the share of a group's rows that its bracket reaches to either side of
+# the middle: more than three times the error that the sketch states for its size.
+SKETCH = 1024
+REACH = 0.01
 
 
 def grouped(
@@ -41,167 +48,198 @@ def grouped(
     aggregates: list[Column],
     medians: dict[str, Column],
     *,
-    sizes: DataFrame | None = None,
     group_rows: int | None = None,
 ) -> DataFrame:
     """``groupBy(keys)`` giving ``aggregates`` and the exact median of each row
     expression in ``medians``.
 
     Args:
-        sizes: keys and ``rows`` per group, where the caller has them already;
-            otherwise they are counted here (a narrow scan of the keys).
-        group_rows: largest group that one task may hold; by default as many rows
-            as make ``GROUP_VALUES`` values.
+        group_rows: different values of a bracket that one task may rank, by default
+            ``GROUP_VALUES``.
     """
-    if group_rows is None:
-        group_rows = GROUP_VALUES // max(len(medians), 1)
-    if sizes is None:
-        sizes = df.groupBy(*keys).agg(row_count().alias("rows"))
-    largest, total = sizes.agg(F.max("rows"), F.sum("rows")).first()
-    if (largest or 0) <= group_rows:
-        return _in_one_task(df, keys, aggregates, medians, total or 0)
-
-    # Some groups are too large for one task. One pass gives all ordinary aggregates
-    # and each measure's count and ends, one row per group. Joins back to the rows use
-    # only the large groups, which are at most 1/group_rows of the row count; their
-    # number is taken here and decides whether they may be broadcast.
+    group_rows = GROUP_VALUES if group_rows is None else group_rows
     held = {f"__v{i}": c.cast("double") for i, c in enumerate(medians.values())}
     rows = df.withColumns(held)
-    ends = [
-        e
-        for v in held
-        for e in (
-            F.count(v).alias(f"{v}_n"),
-            F.min(v).alias(f"{v}_lo"),
-            F.max(v).alias(f"{v}_hi"),
-        )
-    ]
     groups = settled(
-        rows.groupBy(*keys).agg(*aggregates, row_count().alias("__rows"), *ends)
+        rows.groupBy(*keys)
+        .agg(*aggregates, *[c for v in held for c in _ends(v)])
+        .withColumns({f"{v}_{end}": _reached(v, side) for v in held for end, side in (("a", -1), ("b", 1))})
+        .drop(*[f"{v}_sketch" for v in held])
     )
-    large = groups.where(F.col("__rows") > group_rows)
-    n_groups, n_large = groups.count(), large.count()
-    few = groups.where(F.col("__rows") <= group_rows).agg(F.sum("__rows")).first()[0] or 0
-    found = _ranked(rows, keys, large, list(medians), group_rows, n_large)
-    if few:
-        rest = join_groups(df, large.select(*keys), keys, n_large, "left_anti")
-        found = found.unionByName(_in_one_task(rest, keys, [], medians, few))
-    result = join_groups(groups, found, keys, n_groups) if keys else _side_by_side(groups, found)
-    return result.drop("__rows", *[f"{v}_{e}" for v in held for e in ("n", "lo", "hi")])
+    n_groups = groups.count()
+    inside = settled(inside_brackets(rows, groups, keys, list(held), n_groups))
+    found = _ranked(rows, inside, groups, keys, list(medians), group_rows, n_groups)
+    result = join_groups(groups, found, keys, n_groups, "left") if keys else _side_by_side(groups, found)
+    return result.drop(*[f"{v}_{e}" for v in held for e in ("n", "lo", "hi", "a", "b")])
 
 
-def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Two one-row frames as one row."""
-    return one.withColumns({c: other.select(c).scalar() for c in other.columns})
+def sketched(v: str) -> Column:
+    """Sketch of a measure, without NaN."""
+    return F.kll_sketch_agg_double(F.nanvl(v, F.lit(None).cast("double")), F.lit(SKETCH))
 
 
-def _in_one_task(
-    df: DataFrame,
+def _ends(v: str) -> list[Column]:
+    """Count, ends and sketch of a measure."""
+    return [
+        F.count(v).alias(f"{v}_n"),
+        F.min(v).alias(f"{v}_lo"),
+        F.max(v).alias(f"{v}_hi"),
+        sketched(v).alias(f"{v}_sketch"),
+    ]
+
+
+def _reached(v: str, side: int, reach: float = REACH) -> Column:
+    """A bracket end; null where the sketch is empty."""
+    sketch = F.col(f"{v}_sketch")
+    filled = F.kll_sketch_get_n_double(sketch) > 0
+    return F.when(filled, F.kll_sketch_get_quantile_double(sketch, F.lit(0.5 + side * reach)))
+
+
+def inside_brackets(
+    rows: DataFrame,
+    brackets: DataFrame,
     keys: list[str],
-    aggregates: list[Column],
-    medians: dict[str, Column],
-    n_rows: int,
+    held: list[str],
+    n_groups: int | None,
+    flags: dict[str, Column] | None = None,
+    parts: list[str] | None = None,
 ) -> DataFrame:
-    """Medians of groups whose size is known to be small: gather and sort each.
-
-    Shuffling rows by key first means values are gathered once, on the reduce side,
-    instead of as partial arrays on both sides. The session's shuffle partitions are
-    used (adaptive execution may merge them) unless the counted rows need more.
-    """
-    held = {f"__v{i}": c.cast("double") for i, c in enumerate(medians.values())}
-    rows = df.withColumns(held)
+    """Counts of the values inside each bracket (``__m``: measure, ``__v``: value, ``c``) and, in
+    one row a group without a measure, of its rows, of the values below each bracket
+    (``below_0``, ...) and of the rows with each flag. A group without brackets has nothing inside
+    or below. Rows of different ``parts`` (columns) are counted apart."""
+    flags, parts = flags or {}, parts or []
+    ends = [f"{v}_{end}" for v in held for end in ("a", "b")]
+    rows = rows.select(*parts, *keys, *held, *[c.alias(name) for name, c in flags.items()])
     if keys:
-        usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        needed = -(-n_rows // TASK_ROWS)
-        rows = rows.repartition(needed, *keys) if needed > usual else rows.repartition(*keys)
-    gathered = rows.groupBy(*keys).agg(
-        *aggregates, *[F.sort_array(F.collect_list(c)).alias(c) for c in held]
+        marked = join_groups(rows, brackets.select(*keys, *ends), keys, n_groups, "left")
+    else:
+        marked = rows.withColumns({e: brackets.select(e).scalar() for e in ends})
+    double = lambda c: c.cast("double").alias("__v")
+    cells = [F.struct(F.lit(-1).alias("__m"), double(F.lit(None)))] + [
+        F.when(
+            F.col(v).between(F.col(f"{v}_a"), F.col(f"{v}_b")),
+            F.struct(F.lit(i).alias("__m"), double(F.col(v))),
+        )
+        for i, v in enumerate(held)
+    ]
+    below = {f"below_{i}": F.col(v) < F.col(f"{v}_a") for i, v in enumerate(held)}
+    one_each = marked.withColumns(below).select(
+        *parts, *keys, *below, *flags, F.inline(F.array_compact(F.array(*cells)))
+    )
+    return one_each.groupBy(*parts, *keys, "__m", "__v").agg(
+        row_count().alias("c"), *[F.count_if(F.col(b) & (F.col("__m") < 0)).alias(b) for b in (*below, *flags)]
     )
-    middles = {name: _middle(F.col(c)) for name, c in zip(medians, held)}
-    return gathered.withColumns(middles).drop(*held)
 
 
-def _middle(ordered: Column) -> Column:
-    """Mean of the middle pair of a sorted array; an empty array gives null."""
-    n = F.size(ordered)
-    at = lambda position: F.get(ordered, F.floor(position).cast("int"))
-    return 0.5 * at((n - 1) / 2) + 0.5 * at(n / 2)
+def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Two one-row frames as one row."""
+    return one.withColumns({c: other.select(c).scalar() for c in other.columns})
 
 
-def _ranked(
-    rows: DataFrame,
-    keys: list[str],
-    groups: DataFrame,
-    names: list[str],
-    group_rows: int,
-    n_large: int,
-) -> DataFrame:
-    """Medians of large groups by narrowing value ranges (see module text)."""
-    held = [f"__v{i}" for i in range(len(names))]
-    by = [*keys, "__m"]
-    # One row per group and measure. `below` counts the values under `lo`.
-    ranges = groups.select(
+def melted(groups: DataFrame, keys: list[str], names: list[str], columns: dict[str, str]) -> DataFrame:
+    """One row for each group and measure ``__m``; ``columns`` gives the source of each column,
+    with the measure's number for ``{}``."""
+    return groups.select(
         *keys,
         F.inline(
             F.array(
                 *[
                     F.struct(
                         F.lit(i).alias("__m"),
-                        F.col(f"{v}_n").alias("n"),
-                        F.col(f"{v}_lo").alias("lo"),
-                        F.col(f"{v}_hi").alias("hi"),
-                        F.lit(0).cast("bigint").alias("below"),
-                        F.col(f"{v}_n").alias("inside"),
-                        F.when(F.col(f"{v}_lo") == F.col(f"{v}_hi"), F.col(f"{v}_lo")).alias(
-                            "answer"
-                        ),
+                        *[F.col(source.format(i)).alias(c) for c, source in columns.items()],
                     )
-                    for i, v in enumerate(held)
+                    for i in range(len(names))
                 ]
             )
         ),
     )
-    values = rows.select(*keys, F.array(*held).alias("__values"))
-    while True:
-        wide = (F.col("inside") > group_rows) & F.col("answer").isNull()
-        todo = ranges.where(wide)
-        if todo.isEmpty():
-            break
-        narrowed = _narrow(_within(values, todo, keys, n_large), by)
-        ranges = settled(ranges.where(~wide).unionByName(narrowed))
-    # A measure that is null on every row of a group has n = 0 and no median.
-    rest = F.col("answer").isNull() & (F.col("n") > 0)
-    found = ranges.where(~rest).select(*by, "answer")
-    if not ranges.where(rest).isEmpty():
-        picked = _pick(_within(values, ranges.where(rest), keys, n_large), by)
-        found = found.unionByName(picked)
+
+
+def picked(
+    inside: DataFrame, measures: DataFrame, by: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Measures (``n``, ``a``, ``b``, ``below``) with their counts inside the bracket and whether
+    it caught the middle ranks, and the table of values inside."""
+    table = inside.where("__m >= 0").select(*by, "__v", "c")
+    counted = table.groupBy(*by).agg(F.sum("c").alias("inside"), row_count().alias("different"))
+    found = join_groups(measures, counted, by, how="left").fillna(0, ["inside", "different"])
+    k1, k2 = _middle_ranks()
+    caught = (F.col("below") < k1) & (k2 <= F.col("below") + F.col("inside"))
+    return found.where(F.col("n") > 0).withColumn("caught", caught), table
+
+
+def pivoted(found: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Answers of each group and measure as one column a measure."""
+    by = keys or ["__one"]
+    wide = found if keys else found.withColumn("__one", F.lit(1))
     return (
-        found.groupBy(*keys)
+        wide.groupBy(*by)
         .pivot("__m", list(range(len(names))))
         .agg(F.first("answer"))
         .withColumnsRenamed({str(i): name for i, name in enumerate(names)})
+        .drop("__one")
     )
 
 
-def _within(values: DataFrame, ranges: DataFrame, keys: list[str], n_large: int) -> DataFrame:
-    """The values that fall into their group's open ranges, one row per value.
+def _ranked(
+    rows: DataFrame,
+    inside: DataFrame,
+    groups: DataFrame,
+    keys: list[str],
+    names: list[str],
+    group_rows: int,
+    n_groups: int,
+) -> DataFrame:
+    """Medians of all groups; see the module text."""
+    by = [*keys, "__m"]
+    below = melted(inside.where("__m < 0"), keys, names, {"below": "below_{}"})
+    ends = {"n": "__v{}_n", "least": "__v{}_lo", "most": "__v{}_hi", "a": "__v{}_a", "b": "__v{}_b"}
+    measures, table = picked(inside, join_groups(melted(groups, keys, names, ends), below, by), by)
+    caught = F.col("caught")
+    ranges = settled(
+        measures.select(
+            *by, "n", "caught",
+            F.when(caught, F.col("a")).otherwise(F.col("least")).alias("lo"),
+            F.when(caught, F.col("b")).otherwise(F.col("most")).alias("hi"),
+            F.when(caught, F.col("below")).otherwise(F.lit(0)).alias("below"),
+            F.when(caught, F.col("different")).otherwise(F.col("n")).alias("inside"),
+        )
+    )
+    largest = dict(map(tuple, ranges.groupBy("caught").agg(F.max("inside")).collect()))
+    found = narrowed(table, ranges.where("caught").drop("caught"), by, group_rows, largest.get(True, 0))
+    if False in largest:
+        values = melted(rows, keys, names, {"__v": "__v{}"}).withColumn("c", F.lit(1).cast("bigint"))
+        missed = ranges.where("not caught").drop("caught")
+        found = found.unionByName(narrowed(values, missed, by, group_rows, largest[False]))
+    return pivoted(found, keys, names)
+
+
+def narrowed(
+    values: DataFrame, ranges: DataFrame, by: list[str], group_rows: int, largest: int
+) -> DataFrame:
+    """Medians by narrowing ranges over weighted values (``__v``, ``c``) of each group and measure;
+    ``largest`` is the most values that a range holds."""
+    if largest <= group_rows:
+        return _pick(_within(values, ranges, by), by)
+    same = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo"))
+    ranges = ranges.withColumn("answer", same)
+    while True:
+        wide = (F.col("inside") > group_rows) & F.col("answer").isNull()
+        todo = ranges.where(wide)
+        if todo.isEmpty():
+            break
+        narrowed = _narrow(_within(values, todo, by), by)
+        ranges = settled(ranges.where(~wide).unionByName(narrowed))
+    found = ranges.where(F.col("answer").isNotNull()).select(*by, "answer")
+    rest = ranges.where(F.col("answer").isNull())
+    return found.unionByName(_pick(_within(values, rest, by), by))
+
 
-    The ranges of a group travel as one array (one entry per open measure), so each
-    row is probed once and only open measures are emitted.
-    """
-    ends = F.struct("__m", "n", "lo", "hi", "below")
-    todo = ranges.groupBy(*keys).agg(F.collect_list(ends).alias("__todo"))
-    listed = (
-        join_groups(values, todo, keys, n_large)
-        if keys
-        else values.withColumn("__todo", todo.scalar())
-    )
-    return (
-        listed.select(*keys, "__values", F.inline("__todo"))
-        .withColumn("__v", F.get("__values", F.col("__m")))
-        .where(F.col("__v").between(F.col("lo"), F.col("hi")))
-        .drop("__values")
-    )
+def _within(values: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+    """The values that fall into their group's open range."""
+    todo = ranges.select(*by, "n", "lo", "hi", "below")
+    return join_groups(values, todo, by).where(F.col("__v").between(F.col("lo"), F.col("hi")))
 
 
 def _middle_ranks() -> tuple[Column, Column]:
@@ -212,7 +250,8 @@ def _middle_ranks() -> tuple[Column, Column]:
 def _counted(rows: DataFrame, by: list[str], cell: str, order: str) -> DataFrame:
     """Counts per cell with the number of values before each cell."""
     cells = rows.groupBy(*by, cell).agg(
-        row_count().alias("c"),
+        F.sum("c").alias("c"),
+        row_count().alias("different"),
         F.min("__v").alias("first_v"),
         F.max("__v").alias("last_v"),
         F.max("n").alias("n"),
@@ -269,7 +308,7 @@ def _narrow(rows: DataFrame, by: list[str]) -> DataFrame:
             F.min("first_v").alias("lo"),
             F.max("last_v").alias("hi"),
             F.min("before").alias("below"),
-            F.sum("c").alias("inside"),
+            F.sum("different").alias("inside"),
             row_count().alias("cells"),
             F.max(low).alias("k1_last"),
             F.max(high).alias("k2_first"),

@@ -47,7 +47,7 @@ HOURLY_COLUMNS = [
 ]
 
 
-def _with_month(trips: DataFrame) -> DataFrame:
+def with_month(trips: DataFrame) -> DataFrame:
     return trips.withColumn("month", month_start("pickup_datetime"))
 
 
@@ -94,7 +94,7 @@ def _incentive_medians() -> dict[str, Column]:
     }
 
 
-def _incentive_table(cells: DataFrame) -> DataFrame:
+def incentive_from_panel(cells: DataFrame) -> DataFrame:
     return cells.withColumn("topup_per_trip", F.col("total_topup") / F.col("trips")).select(
         *INCENTIVE_COLUMNS
     )
@@ -103,7 +103,7 @@ def _incentive_table(cells: DataFrame) -> DataFrame:
 def coverage_timeline(trips: DataFrame) -> DataFrame:
     """Trips and the share with an on-scene time, by month and platform."""
     return (
-        _with_month(trips)
+        with_month(trips)
         .groupBy("month", "platform")
         .agg(row_count().alias("trips"), rate("has_on_scene").alias("on_scene_coverage"))
     )
@@ -112,7 +112,7 @@ def coverage_timeline(trips: DataFrame) -> DataFrame:
 def market_share(trips: DataFrame) -> DataFrame:
     """Trips and share of the airport's month, for every licensee."""
     counts = (
-        _with_month(trips).groupBy("month", "airport", "platform").agg(row_count().alias("trips"))
+        with_month(trips).groupBy("month", "airport", "platform").agg(row_count().alias("trips"))
     )
     return with_share(counts, "trips", ["month", "airport"])
 
@@ -122,7 +122,6 @@ def hourly_profile(
     direction: str = "pickup",
     valid_only: bool = True,
     *,
-    sizes: DataFrame | None = None,
     group_rows: int | None = None,
 ) -> DataFrame:
     """Trips and economics by airport, platform and hour of day."""
@@ -135,7 +134,6 @@ def hourly_profile(
             rate("has_on_scene").alias("curb_wait_coverage"),
         ],
         _columns(HOURLY_MEDIANS),
-        sizes=sizes,
         group_rows=group_rows,
     )
     return with_share(hours, "trips", ["airport", "platform"], "share_of_day").select(
@@ -147,9 +145,9 @@ def incentive_breakdown(
     trips: DataFrame, valid_only: bool = True, *, group_rows: int | None = None
 ) -> DataFrame:
     """Where driver pay exceeds everything the rider paid."""
-    return _incentive_table(
+    return incentive_from_panel(
         grouped(
-            _with_month(_scoped(trips, valid_only)),
+            with_month(_scoped(trips, valid_only)),
             CELL,
             [
                 row_count().alias("trips"),
@@ -167,7 +165,7 @@ def monthly_kpis(
 ) -> DataFrame:
     """The core panel: month, airport, platform, direction."""
     return grouped(
-        _with_month(_scoped(trips, valid_only)),
+        with_month(_scoped(trips, valid_only)),
         CELL,
         _kpi_aggregates(),
         _columns(KPI_MEDIANS),
@@ -196,18 +194,18 @@ def _faults() -> dict[str, Column]:
     }
 
 
-# --- all six from three passes -------------------------------------------------
+# --- all six from shared scans --------------------------------------------------
 
 
 def count_cube(trips: DataFrame) -> DataFrame:
     """Every additive count at the finest grain any table needs.
 
-    Counts merge exactly, so three tables and all group sizes are rollups of this;
+    Counts merge exactly, so three tables are rollups of this;
     it has at most months x airports x platforms x directions x hours rows.
     """
     valid = F.col("is_valid")
     return (
-        _with_month(trips)
+        with_month(trips)
         .withColumn("hour", F.hour("pickup_datetime"))
         .groupBy(*CELL, "hour")
         .agg(
@@ -242,19 +240,13 @@ def quality_from_cube(cube: DataFrame) -> DataFrame:
     )
 
 
-def _sizes(cube: DataFrame, keys: list[str]) -> DataFrame:
-    """Valid trips per group, from the cube instead of another scan."""
-    return cube.groupBy(*keys).agg(F.sum("n_valid").alias("rows"))
-
-
-def cell_panel(trips: DataFrame, sizes: DataFrame | None, group_rows: int | None) -> DataFrame:
+def cell_panel(trips: DataFrame, group_rows: int | None) -> DataFrame:
     """KPIs and incentive measures share their key and filter: one group-by."""
     return grouped(
-        _with_month(_scoped(trips, True)),
+        with_month(_scoped(trips, True)),
         CELL,
         [*_kpi_aggregates(), *_incentive_aggregates()],
         {**_columns(KPI_MEDIANS), **_incentive_medians()},
-        sizes=sizes,
         group_rows=group_rows,
     )
 
@@ -264,21 +256,19 @@ def all_tables(
     keep: Callable[[DataFrame], DataFrame] = settled,
     group_rows: int | None = None,
 ) -> dict[str, DataFrame]:
-    """All six tables from three passes over the trips instead of six.
+    """All six tables from five scans of the trips, whatever the size of a group: one for the
+    count cube, two for the cell panel and two for the hourly profile.
 
     ``keep`` makes an intermediate durable (by default a reliable checkpoint). Only
     the count cube and the cell panel pass through it, both aggregate-sized.
     """
     cube = keep(count_cube(trips))
-    panel = keep(cell_panel(trips, _sizes(cube, CELL), group_rows))
-    hours = _sizes(
-        cube.where(F.col("direction") == "pickup"), ["airport", "platform", "hour"]
-    )
+    panel = keep(cell_panel(trips, group_rows))
     return {
         "monthly_kpis": panel.select(*KPI_COLUMNS),
         "market_share": share_from_cube(cube),
-        "hourly_profile": hourly_profile(trips, sizes=hours, group_rows=group_rows),
-        "incentive_breakdown": _incentive_table(panel),
+        "hourly_profile": hourly_profile(trips, group_rows=group_rows),
+        "incentive_breakdown": incentive_from_panel(panel),
         "coverage_timeline": coverage_from_cube(cube),
         "data_quality": quality_from_cube(cube),
     }

@@ -57,13 +57,43 @@ def test_exact_at_any_group_size(spark, monkeypatch, limit, buckets):
     assert sum(r.n for r in got.values()) == len(rows)
 
 
-def test_partitions_follow_the_counted_rows(spark, monkeypatch):
-    monkeypatch.setattr(medians, "TASK_ROWS", 10)
-    df = spark.range(1000).select((F.col("id") % 100).alias("k"), F.col("id").alias("x"))
-    result = grouped(df, ["k"], [], {"m": F.col("x")})
-    plan = spark._jvm.PythonSQLUtils.explainString(result._jdf.queryExecution(), "simple")
-    assert ", 100), REPARTITION_BY_NUM" in plan
-    assert {r.k: r.m for r in result.collect()} == {k: 450.0 + k for k in range(100)}
+def counting(spark, rows, schema):
+    """A frame and the number of rows read from it so far."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).map(seen), schema), read
+
+
+@pytest.mark.parametrize("limit", [5, 10_000])
+def test_rows_are_scanned_twice_at_any_size(spark, limit):
+    rows = skewed(3000, seed=7)
+    df, read = counting(spark, rows, "k string, x double, y double, z double")
+    measures = {"mx": F.col("x"), "my": F.col("y"), "mz": F.col("z")}
+    got = {r.k: r.mx for r in grouped(df, ["k"], [], measures, group_rows=limit).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-15) for k, v in brute(rows, 1).items()}
+    assert read.value == 2 * len(rows)
+
+
+def test_keyless_rows_are_scanned_twice(spark):
+    rows = [(float(i % 977),) for i in range(2000)]
+    df, read = counting(spark, rows, "x double")
+    assert grouped(df, [], [], {"m": F.col("x")}).first().m == statistics.median(r[0] for r in rows)
+    assert read.value == 2 * len(rows)
+
+
+@pytest.mark.parametrize("bracket", [(1e12, 2e12), (-5.0, -4.0), (None, None)])
+def test_a_wrong_sketch_changes_nothing(spark, monkeypatch, bracket):
+    monkeypatch.setattr(medians, "_reached", lambda v, side: F.lit(bracket[side > 0]).cast("double"))
+    rows = skewed(1200, seed=11)
+    df = spark.createDataFrame(rows, "k string, x double, y double, z double")
+    for limit in (7, 5000):
+        measures = {"mx": F.col("x"), "mz": F.col("z")}
+        got = {r.k: r.mx for r in grouped(df, ["k"], [], measures, group_rows=limit).collect()}
+        assert got == {k: pytest.approx(v, rel=1e-15) for k, v in brute(rows, 1).items()}
 
 
 def test_whole_frame(spark):
@@ -110,6 +140,8 @@ def test_any_double_ends_and_equals_the_small_path(spark, odd):
 
 @pytest.mark.parametrize("tail", [[], [1e300, -1e300], [1e-300, 5e-324], [float("inf"), 0.0]])
 def test_outliers_add_no_rounds(spark, monkeypatch, tail):
+    """Also where the sketch gives no bracket at all."""
+    monkeypatch.setattr(medians, "_reached", lambda v, side: F.lit(None).cast("double"))
     rounds = []
     narrow = medians._narrow
     monkeypatch.setattr(medians, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
@@ -122,6 +154,7 @@ def test_outliers_add_no_rounds(spark, monkeypatch, tail):
 
 
 def test_close_doubles_end_within_six_rounds(spark, monkeypatch):
+    monkeypatch.setattr(medians, "_reached", lambda v, side: F.lit(None).cast("double"))
     rounds = []
     narrow = medians._narrow
     monkeypatch.setattr(medians, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
