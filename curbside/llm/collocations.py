@@ -45,6 +45,8 @@ MIN_COUNT = 10
 COVERED = 50
 SCALE = 1_000_000
 TOP = 2000
+#: Parts of a language that are ranked by themselves first.
+SHARES = 64
 
 #: Separators of pieces; words are separated by space and tab.
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
@@ -341,7 +343,12 @@ def collocations(
         F.when(second, F.col("last_count")).otherwise(F.col("right_1")).alias("r"),
         F.when(second, F.col("score_2")).otherwise(F.col("score_1")).alias("score"),
     )
-    by = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = scored.withColumn("rank", F.row_number().over(by).cast("long")).filter(F.col("rank") <= top)
+    # The first of each share of a language, then of those: no task ranks a whole language.
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).alias("share")
+    shares = W.partitionBy("lang", "share").orderBy(*order)
+    first = scored.select("*", share).withColumn("rank", F.row_number().over(shares)).filter(F.col("rank") <= top)
+    whole = W.partitionBy("lang").orderBy(*order)
+    first = first.withColumn("rank", F.row_number().over(whole).cast("long")).filter(F.col("rank") <= top)
     total = grams.filter("size = 0").select("lang", "n")
     return first.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
