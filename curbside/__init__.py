@@ -13,6 +13,7 @@ from curbside.plans.aggregates import (
 from curbside.plans.ingest import build_archive, build_month
 from curbside.plans.market import leadership
 from curbside.plans.quality import describe
+from curbside.plans.refresh import refresh_aggregates
 from curbside.plans.scorecard import benchmark, compare_platforms
 from curbside.plans.scoping import active_platforms, dispatch_airports, platform_census
 from curbside.scope import DEFAULT_SCOPE, METRICS, Scope
@@ -33,5 +34,5 @@ __all__ = [
     "data_quality", "describe", "dispatch_airports", "export_aggregates", "format_difference",
     "format_metric", "hourly_profile", "incentive_breakdown", "leadership", "load_all",
     "market_share", "month_add", "monthly_kpis", "months", "parse_ym", "platform_census",
-    "read_month", "read_table", "scan_airport_trips", "slim_for_storage", "write_slim",
+    "read_month", "read_table", "refresh_aggregates", "scan_airport_trips", "slim_for_storage", "write_slim",
 ]

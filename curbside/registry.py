@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from curbside.functions import calendar, text, trip
 from curbside.operators.medians import grouped
-from curbside.plans import aggregates, economics, ingest, market, quality, scorecard, scoping
+from curbside.plans import aggregates, economics, ingest, market, quality, refresh, scorecard, scoping
 from curbside.scope import AGGREGATE_TABLES, Scope
 from curbside.sources.files import archived_months, raw_months, raw_path
 from curbside.sources.landing import land, land_by_month, session_folder
@@ -82,6 +82,11 @@ class Source:
         """The six tables of an export that narrows every bracket."""
         return _large_groups(self)
 
+    @property
+    def refreshed(self) -> str:
+        """The six tables of an archive that grew between two refreshes."""
+        return _refreshed(self)
+
     @property
     def mixed(self) -> str:
         """Monthly raw files whose part files differ in layout within a month."""
@@ -122,6 +127,19 @@ def _large_groups(src: Source) -> str:
     return base
 
 
+@lru_cache(maxsize=8)
+def _refreshed(src: Source) -> str:
+    raw, archive, base = f"{src.folder}/monthly", f"{src.built}-again", f"{src.folder}/tables-refreshed"
+    start, middle = SCOPE.archive_start, SCOPE.sample_month
+    ingest.build_archive(src.spark, raw, archive, start=start, end=middle, scope=SCOPE)
+    refresh.refresh_aggregates(src.spark, archive, base)
+    ingest.build_archive(src.spark, raw, archive, start=start, scope=SCOPE)
+    second = refresh.refresh_aggregates(src.spark, archive, base)
+    if not second.read or min(second.read) <= middle:
+        raise RuntimeError(f"refresh read more than the new months: {second}")
+    return base
+
+
 def _other_layout(raw: DataFrame) -> DataFrame:
     """Raw trips as another writer stores them."""
     return raw.withColumns(
@@ -397,6 +415,17 @@ for _name in AGGREGATE_TABLES:
     _exported_with_large_groups(_name)
 
 
+def _refreshed_table(name: str) -> None:
+    """The tables after a refresh that read only the months added since the first one."""
+    QUERIES[f"s11_refreshed_{name}"] = lambda spark, sf_dir: neat(
+        read_table(spark, source(spark, sf_dir).refreshed, name)
+    )
+
+
+for _name in AGGREGATE_TABLES:
+    _refreshed_table(_name)
+
+
 # --- expressions and predicates (P, F) -----------------------------------------
 
 

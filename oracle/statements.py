@@ -195,6 +195,13 @@ STATEMENTS: dict[str, str] = {
     "g6_market_share": _table("market_share"),
     **{f"s11_shared_scan_{name}": _table(name) for name in TABLES},
     **{f"s11_large_groups_{name}": _table(name) for name in TABLES},
+    **{
+        f"s11_refreshed_{name}": _neat(
+            f"select * from {'archive_' if relation in ('kpis', 'hourly', 'incentive') else ''}{relation}",
+            doubles,
+        )
+        for name, (relation, doubles) in TABLES.items()
+    },
     "p14_calendar_parts": statement(
         """select year(pickup_datetime)::int as year, month(pickup_datetime)::int as month_number,
              strftime(pickup_datetime, '%b') as calendar_month,
