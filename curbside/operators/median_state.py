@@ -28,14 +28,9 @@ def brackets(df: DataFrame, keys: list[str], measures: dict[str, Column]) -> Dat
     """Brackets of all groups, from one scan."""
     names = [f"__v{i}" for i in range(len(measures))]
     sketches = held(df, measures).groupBy(*keys).agg(*[M.sketched(v).alias(f"{v}_sketch") for v in names])
-    return sketches.select(
-        *keys,
-        *[
-            M._reached(v, side, REACH).alias(f"{v}_{end}")
-            for v in names
-            for end, side in (("a", -1), ("b", 1))
-        ],
-    )
+    at = sketches.select(*keys, *[M._reached(v, REACH).alias(v) for v in names])
+    ends = [F.get(v, F.lit(i)).alias(f"{v}_{end}") for v in names for end, i in (("a", 0), ("b", 3))]
+    return at.select(*keys, *ends)
 
 
 def part_counts(

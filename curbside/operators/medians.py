@@ -1,23 +1,24 @@
-"""Group-by with exact medians that stay exact and bounded at any group size, in two scans.
+"""Group-by with exact medians that stay exact and bounded at any group size.
 
 Spark's ``median()`` keeps a map of every distinct value of a group in one task. At
 trip scale that is neither fast (maps are serialised entry by entry) nor safe (one
-platform at one airport may hold a third of a trillion trips). :func:`grouped` takes the
-same steps for groups of any size:
+platform at one airport may hold a third of a trillion trips). :func:`grouped` needs one
+scan of the rows, and one more of those of large groups:
 
-1. One scan gives all ordinary aggregates and, for each measure, its count, its ends and a
-   mergeable quantile sketch. The sketch gives a bracket around the middle of the group.
+1. The first scan gives all ordinary aggregates and, for each measure, its count, its ends and
+   a mergeable quantile sketch. A sketch of up to ``SKETCH`` values holds them all, so a median
+   of so many is exact already. Of more, it gives a bracket around the middle.
 2. A second scan counts the values below the bracket and, value by value, those inside it; both
    combine on the map side. Only this small table is kept.
 3. The middle ranks are picked from it. A bracket of more than ``GROUP_VALUES`` different
    values is narrowed first, round by round, without another scan of the rows.
 
-A sketch is an estimate, so the counts decide: where the middle ranks are not inside the
-bracket, or where a value is NaN (which sketches leave out), the range from end to end is
-narrowed instead, over the rows: each round counts the rows of the current range in buckets,
-first by magnitude and then in ``BUCKETS`` equal widths, and keeps the bucket that holds the
-middle rank; six rounds at most, whatever the values. No group is gathered, so a hot one is
-spread over all tasks, and no row is dropped or sampled.
+A bracket is an estimate, so the counts decide: where the middle ranks are not inside it, or
+where a value is NaN (which sketches leave out), the range from end to end is narrowed
+instead, over the rows: each round counts the rows of the current range in buckets, first by
+magnitude and then in ``BUCKETS`` equal widths, and keeps the bucket that holds the middle
+rank; six rounds at most, whatever the values. No group is gathered, so a hot one is spread
+over all tasks, and no row is dropped or sampled.
 
 Ordinary aggregates (counts, sums, means) combine map-side and need no such care.
 """
@@ -36,7 +37,7 @@ GROUP_VALUES = 1_000_000
 BUCKETS = 1024
 # Buckets of a range cut by magnitude, for each factor of two.
 OCTAVE = 128
-# Size of the sketch, and the share of a group's rows that its bracket reaches to either side of
+# Values up to which a sketch is exact, and the share of a group's rows that its bracket reaches to either side of
 # the middle: more than three times the error that the sketch states for its size.
 SKETCH = 1024
 REACH = 0.01
@@ -63,36 +64,77 @@ def grouped(
     groups = settled(
         rows.groupBy(*keys)
         .agg(*aggregates, *[c for v in held for c in _ends(v)])
-        .withColumns({f"{v}_{end}": _reached(v, side) for v in held for end, side in (("a", -1), ("b", 1))})
+        .withColumns({f"{v}_at": _reached(v) for v in held})
+        .withColumns({f"{v}_mid": _exact(v) for v in held})
+        .withColumns({f"{v}_open": F.expr(f"{v}_n > 0 and {v}_mid is null") for v in held})
         .drop(*[f"{v}_sketch" for v in held])
     )
-    n_groups = groups.count()
-    inside = settled(inside_brackets(rows, groups, keys, list(held), n_groups))
-    found = _ranked(rows, inside, groups, keys, list(medians), group_rows, n_groups)
-    result = join_groups(groups, found, keys, n_groups, "left") if keys else _side_by_side(groups, found)
-    return result.drop(*[f"{v}_{e}" for v in held for e in ("n", "lo", "hi", "a", "b")])
+    names = dict(zip(held, medians, strict=True))
+    rest = [f"{v}_{e}" for v in held for e in ("n", "lo", "hi", "at", "mid", "open")]
+    done = groups.withColumns({name: F.col(f"{v}_mid") for v, name in names.items()})
+    still_open = " or ".join([f"{v}_open" for v in held]) or "false"
+    n_large = groups.where(still_open).count()
+    if not n_large:
+        return done.drop(*rest)
+    # Measures of these groups that are known already have nothing left to count.
+    large = groups.where(still_open).selectExpr(
+        *[f"`{k}`" for k in keys],
+        *[
+            x
+            for v in held
+            for x in (
+                f"if({v}_open, {v}_n, 0) as {v}_n",
+                f"if({v}_open, get({v}_at, 0), null) as {v}_a",
+                f"if({v}_open, get({v}_at, 3), null) as {v}_b",
+                f"{v}_lo",
+                f"{v}_hi",
+            )
+        ],
+    )
+    inside = settled(inside_brackets(rows, large, keys, list(held), n_large, how="inner"))
+    found = _ranked(rows, inside, large, keys, list(held), group_rows, n_large)
+    found = found.withColumnsRenamed({v: f"{v}_found" for v in held})
+    if keys:
+        both = join_groups(done, found, keys, n_large, "left")
+    else:
+        one = found.first() or dict.fromkeys(found.columns)
+        both = done.withColumns({c: F.lit(one[c]).cast("double") for c in found.columns})
+    answers = {name: F.coalesce(f"{v}_found", f"{v}_mid") for v, name in names.items()}
+    return both.withColumns(answers).drop(*rest, *[f"{v}_found" for v in held])
 
 
 def sketched(v: str) -> Column:
     """Sketch of a measure, without NaN."""
-    return F.kll_sketch_agg_double(F.nanvl(v, F.lit(None).cast("double")), F.lit(SKETCH))
+    return F.expr(f"kll_sketch_agg_double(nanvl({v}, cast(null as double)), {SKETCH})")
 
 
 def _ends(v: str) -> list[Column]:
     """Count, ends and sketch of a measure."""
     return [
-        F.count(v).alias(f"{v}_n"),
-        F.min(v).alias(f"{v}_lo"),
-        F.max(v).alias(f"{v}_hi"),
+        F.expr(f"count({v}) as {v}_n"),
+        F.expr(f"min({v}) as {v}_lo"),
+        F.expr(f"max({v}) as {v}_hi"),
         sketched(v).alias(f"{v}_sketch"),
     ]
 
 
-def _reached(v: str, side: int, reach: float = REACH) -> Column:
-    """A bracket end; null where the sketch is empty."""
-    sketch = F.col(f"{v}_sketch")
-    filled = F.kll_sketch_get_n_double(sketch) > 0
-    return F.when(filled, F.kll_sketch_get_quantile_double(sketch, F.lit(0.5 + side * reach)))
+def _reached(v: str, reach: float = REACH) -> Column:
+    """Values at the start of the bracket, the two sides of the middle (a millionth apart, less
+    than a rank of an exact sketch) and the end of the bracket; null where the sketch is empty."""
+    ranks = ", ".join(f"{0.5 + d}D" for d in (-reach, 0.0, 1e-6, reach))
+    return F.expr(
+        f"if(kll_sketch_get_n_double({v}_sketch) > 0, "
+        f"kll_sketch_get_quantile_double({v}_sketch, array({ranks})), null)"
+    )
+
+
+def _exact(v: str) -> Column:
+    """The median, where the sketch holds every value."""
+    low, high = f"get({v}_at, 1)", f"get({v}_at, 2)"
+    return F.expr(
+        f"if(kll_sketch_get_n_double({v}_sketch) = {v}_n and {v}_n <= {SKETCH}, "
+        f"if({low} = {high}, {low}, 0.5D * {low} + 0.5D * {high}), null)"
+    )
 
 
 def inside_brackets(
@@ -103,67 +145,52 @@ def inside_brackets(
     n_groups: int | None,
     flags: dict[str, Column] | None = None,
     parts: list[str] | None = None,
+    how: str = "left",
 ) -> DataFrame:
     """Counts of the values inside each bracket (``__m``: measure, ``__v``: value, ``c``) and, in
     one row a group without a measure, of its rows, of the values below each bracket
     (``below_0``, ...) and of the rows with each flag. A group without brackets has nothing inside
-    or below. Rows of different ``parts`` (columns) are counted apart."""
+    or below (``how`` left) or is left out (inner). Rows of different ``parts`` (columns) are counted
+    apart."""
     flags, parts = flags or {}, parts or []
     ends = [f"{v}_{end}" for v in held for end in ("a", "b")]
     rows = rows.select(*parts, *keys, *held, *[c.alias(name) for name, c in flags.items()])
     if keys:
-        marked = join_groups(rows, brackets.select(*keys, *ends), keys, n_groups, "left")
+        marked = join_groups(rows, brackets.select(*keys, *ends), keys, n_groups, how)
     else:
-        marked = rows.withColumns({e: brackets.select(e).scalar() for e in ends})
-    double = lambda c: c.cast("double").alias("__v")
-    cells = [F.struct(F.lit(-1).alias("__m"), double(F.lit(None)))] + [
-        F.when(
-            F.col(v).between(F.col(f"{v}_a"), F.col(f"{v}_b")),
-            F.struct(F.lit(i).alias("__m"), double(F.col(v))),
-        )
-        for i, v in enumerate(held)
+        one = brackets.first() or dict.fromkeys(ends)
+        marked = rows.withColumns({e: F.lit(one[e]).cast("double") for e in ends})
+    cells = ["struct(-1 as __m, cast(null as double) as __v)"] + [
+        f"if({v} between {v}_a and {v}_b, struct({i} as __m, {v} as __v), null)" for i, v in enumerate(held)
     ]
-    below = {f"below_{i}": F.col(v) < F.col(f"{v}_a") for i, v in enumerate(held)}
-    one_each = marked.withColumns(below).select(
-        *parts, *keys, *below, *flags, F.inline(F.array_compact(F.array(*cells)))
+    below = {f"below_{i}": f"{v} < {v}_a as below_{i}" for i, v in enumerate(held)}
+    by = [f"`{c}`" for c in (*parts, *keys)]
+    one_each = marked.selectExpr(
+        *by, *below.values(), *flags, f"inline(array_compact(array({', '.join(cells)})))"
     )
     return one_each.groupBy(*parts, *keys, "__m", "__v").agg(
-        row_count().alias("c"), *[F.count_if(F.col(b) & (F.col("__m") < 0)).alias(b) for b in (*below, *flags)]
+        row_count().alias("c"), *[F.expr(f"count_if({b} and __m < 0) as {b}") for b in (*below, *flags)]
     )
 
 
-def _side_by_side(one: DataFrame, other: DataFrame) -> DataFrame:
-    """Two one-row frames as one row."""
-    return one.withColumns({c: other.select(c).scalar() for c in other.columns})
-
-
 def melted(groups: DataFrame, keys: list[str], names: list[str], columns: dict[str, str]) -> DataFrame:
     """One row for each group and measure ``__m``; ``columns`` gives the source of each column,
     with the measure's number for ``{}``."""
-    return groups.select(
-        *keys,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("__m"),
-                        *[F.col(source.format(i)).alias(c) for c, source in columns.items()],
-                    )
-                    for i in range(len(names))
-                ]
-            )
-        ),
-    )
+    rows = [
+        f"struct({i} as __m, " + ", ".join(f"{source.format(i)} as {c}" for c, source in columns.items()) + ")"
+        for i in range(len(names))
+    ]
+    return groups.selectExpr(*[f"`{k}`" for k in keys], f"inline(array({', '.join(rows)}))")
 
 
 def picked(
-    inside: DataFrame, measures: DataFrame, by: list[str]
+    inside: DataFrame, measures: DataFrame, by: list[str], most: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Measures (``n``, ``a``, ``b``, ``below``) with their counts inside the bracket and whether
-    it caught the middle ranks, and the table of values inside."""
+    it caught the middle ranks, and the table of values inside; there are at most ``most``."""
     table = inside.where("__m >= 0").select(*by, "__v", "c")
     counted = table.groupBy(*by).agg(F.sum("c").alias("inside"), row_count().alias("different"))
-    found = join_groups(measures, counted, by, how="left").fillna(0, ["inside", "different"])
+    found = join_groups(measures, counted, by, most, "left").fillna(0, ["inside", "different"])
     k1, k2 = _middle_ranks()
     caught = (F.col("below") < k1) & (k2 <= F.col("below") + F.col("inside"))
     return found.where(F.col("n") > 0).withColumn("caught", caught), table
@@ -195,7 +222,8 @@ def _ranked(
     by = [*keys, "__m"]
     below = melted(inside.where("__m < 0"), keys, names, {"below": "below_{}"})
     ends = {"n": "__v{}_n", "least": "__v{}_lo", "most": "__v{}_hi", "a": "__v{}_a", "b": "__v{}_b"}
-    measures, table = picked(inside, join_groups(melted(groups, keys, names, ends), below, by), by)
+    most = n_groups * len(names)
+    measures, table = picked(inside, join_groups(melted(groups, keys, names, ends), below, by, most), by, most)
     caught = F.col("caught")
     ranges = settled(
         measures.select(
@@ -207,21 +235,27 @@ def _ranked(
         )
     )
     largest = dict(map(tuple, ranges.groupBy("caught").agg(F.max("inside")).collect()))
-    found = narrowed(table, ranges.where("caught").drop("caught"), by, group_rows, largest.get(True, 0))
+    caught = ranges.where("caught").drop("caught")
+    found = narrowed(table, caught, by, group_rows, largest.get(True, 0), most)
     if False in largest:
         values = melted(rows, keys, names, {"__v": "__v{}"}).withColumn("c", F.lit(1).cast("bigint"))
         missed = ranges.where("not caught").drop("caught")
-        found = found.unionByName(narrowed(values, missed, by, group_rows, largest[False]))
+        found = found.unionByName(narrowed(values, missed, by, group_rows, largest[False], most))
     return pivoted(found, keys, names)
 
 
 def narrowed(
-    values: DataFrame, ranges: DataFrame, by: list[str], group_rows: int, largest: int
+    values: DataFrame,
+    ranges: DataFrame,
+    by: list[str],
+    group_rows: int,
+    largest: int,
+    most: int | None = None,
 ) -> DataFrame:
     """Medians by narrowing ranges over weighted values (``__v``, ``c``) of each group and measure;
-    ``largest`` is the most values that a range holds."""
+    ``largest`` is the most values that a range holds, ``most`` bounds the number of ranges."""
     if largest <= group_rows:
-        return _pick(_within(values, ranges, by), by)
+        return _pick(_within(values, ranges, by, most), by)
     same = F.when(F.col("lo").eqNullSafe(F.col("hi")), F.col("lo"))
     ranges = ranges.withColumn("answer", same)
     while True:
@@ -229,17 +263,17 @@ def narrowed(
         todo = ranges.where(wide)
         if todo.isEmpty():
             break
-        narrowed = _narrow(_within(values, todo, by), by)
+        narrowed = _narrow(_within(values, todo, by, most), by)
         ranges = settled(ranges.where(~wide).unionByName(narrowed))
     found = ranges.where(F.col("answer").isNotNull()).select(*by, "answer")
     rest = ranges.where(F.col("answer").isNull())
-    return found.unionByName(_pick(_within(values, rest, by), by))
+    return found.unionByName(_pick(_within(values, rest, by, most), by))
 
 
-def _within(values: DataFrame, ranges: DataFrame, by: list[str]) -> DataFrame:
+def _within(values: DataFrame, ranges: DataFrame, by: list[str], most: int | None) -> DataFrame:
     """The values that fall into their group's open range."""
     todo = ranges.select(*by, "n", "lo", "hi", "below")
-    return join_groups(values, todo, by).where(F.col("__v").between(F.col("lo"), F.col("hi")))
+    return join_groups(values, todo, by, most).where(F.col("__v").between(F.col("lo"), F.col("hi")))
 
 
 def _middle_ranks() -> tuple[Column, Column]:

@@ -105,14 +105,15 @@ def direction_ratio_review(kpis: DataFrame, scope: Scope = DEFAULT_SCOPE) -> Dat
 
 
 def names(listed: DataFrame, column: str, *order: str, most: int = 10_000) -> list[str]:
-    """A short name list on the driver in a stated order (by ``column`` where none is given), for
-    use as column names of a pivot.
+    """A short name list on the driver in a stated order (that of the frame where none is given),
+    for use as column names of a pivot.
 
     Raises:
         ValueError: more names than a pivot may have columns.
     """
-    by = [F.expr(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.col(o) for o in order or (column,)]
-    found = [r[0] for r in listed.orderBy(*by).select(column).limit(most + 1).collect()]
+    by = [F.expr(o.removesuffix(" desc")).desc() if o.endswith(" desc") else F.col(o) for o in order]
+    ordered = listed.orderBy(*by) if by else listed
+    found = [r[0] for r in ordered.select(column).limit(most + 1).collect()]
     if len(found) > most:
         raise ValueError(f"more than {most} distinct {column} values cannot become columns")
     return found

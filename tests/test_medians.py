@@ -57,6 +57,23 @@ def test_exact_at_any_group_size(spark, monkeypatch, limit, buckets):
     assert sum(r.n for r in got.values()) == len(rows)
 
 
+def no_bracket(monkeypatch):
+    monkeypatch.setattr(medians, "_reached", lambda v: F.lit(None).cast("array<double>"))
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_a_sketch_holds_every_value_up_to_its_size(spark, partitions):
+    """One scan is enough for such groups, and exact whatever their size and merges."""
+    rng = random.Random(partitions)
+    sizes = [1, 2, 3, 4, 5, 99, 500, 1000, medians.SKETCH - 1, medians.SKETCH]
+    rows = [(str(n), rng.choice([rng.uniform(-1, 1), 10 ** rng.uniform(-6, 9)]), 0.0, None) for n in sizes for _ in range(n)]  # noqa: E501
+    rng.shuffle(rows)
+    df, read = counting(spark, rows, "k string, x double, y double, z double")
+    got = {r.k: r.m for r in grouped(df.repartition(partitions), ["k"], [], {"m": F.col("x")}).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-15) for k, v in brute(rows, 1).items()}
+    assert read.value == len(rows)
+
+
 def counting(spark, rows, schema):
     """A frame and the number of rows read from it so far."""
     read = spark.sparkContext.accumulator(0)
@@ -69,8 +86,8 @@ def counting(spark, rows, schema):
 
 
 @pytest.mark.parametrize("limit", [5, 10_000])
-def test_rows_are_scanned_twice_at_any_size(spark, limit):
-    rows = skewed(3000, seed=7)
+def test_rows_of_large_groups_are_scanned_twice(spark, limit):
+    rows = skewed(9000, seed=7)
     df, read = counting(spark, rows, "k string, x double, y double, z double")
     measures = {"mx": F.col("x"), "my": F.col("y"), "mz": F.col("z")}
     got = {r.k: r.mx for r in grouped(df, ["k"], [], measures, group_rows=limit).collect()}
@@ -87,7 +104,8 @@ def test_keyless_rows_are_scanned_twice(spark):
 
 @pytest.mark.parametrize("bracket", [(1e12, 2e12), (-5.0, -4.0), (None, None)])
 def test_a_wrong_sketch_changes_nothing(spark, monkeypatch, bracket):
-    monkeypatch.setattr(medians, "_reached", lambda v, side: F.lit(bracket[side > 0]).cast("double"))
+    wrong = F.array(*[F.lit(x).cast("double") for x in (bracket[0], None, None, bracket[1])])
+    monkeypatch.setattr(medians, "_reached", lambda v: wrong)
     rows = skewed(1200, seed=11)
     df = spark.createDataFrame(rows, "k string, x double, y double, z double")
     for limit in (7, 5000):
@@ -141,7 +159,7 @@ def test_any_double_ends_and_equals_the_small_path(spark, odd):
 @pytest.mark.parametrize("tail", [[], [1e300, -1e300], [1e-300, 5e-324], [float("inf"), 0.0]])
 def test_outliers_add_no_rounds(spark, monkeypatch, tail):
     """Also where the sketch gives no bracket at all."""
-    monkeypatch.setattr(medians, "_reached", lambda v, side: F.lit(None).cast("double"))
+    no_bracket(monkeypatch)
     rounds = []
     narrow = medians._narrow
     monkeypatch.setattr(medians, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
@@ -154,7 +172,7 @@ def test_outliers_add_no_rounds(spark, monkeypatch, tail):
 
 
 def test_close_doubles_end_within_six_rounds(spark, monkeypatch):
-    monkeypatch.setattr(medians, "_reached", lambda v, side: F.lit(None).cast("double"))
+    no_bracket(monkeypatch)
     rounds = []
     narrow = medians._narrow
     monkeypatch.setattr(medians, "_narrow", lambda *a: rounds.append(1) or narrow(*a))
