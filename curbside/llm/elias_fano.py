@@ -8,6 +8,7 @@ every 256th set bit is kept in 32 bits, so that one value is found without readi
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -66,12 +67,28 @@ class Sequence:
         part = part[first % 8 : first % 8 + self.low]
         return (high << self.low) | sum(1 << j for j in np.flatnonzero(part).tolist())
 
+    def block(self, b: int) -> np.ndarray:
+        """Values number ``STEP`` * b to before ``STEP`` * (b + 1), by one select for all of them: the
+        sample tells where their set bits begin, and nothing else is decoded."""
+        first = b * STEP
+        n = min(STEP, self.n - first)
+        if n <= 0:
+            raise IndexError(b)
+        begin = int(self.samples[b])
+        byte = begin // 8
+        until = int(self.samples[b + 1]) // 8 + 1 if b + 1 < len(self.samples) else len(self.highs)
+        ones = np.flatnonzero(np.unpackbits(self.highs[byte:until], bitorder="little")) + 8 * byte
+        ones = ones[ones >= begin][:n]
+        at = first * self.low
+        bits = np.unpackbits(self.lows[at // 8 : -(-(at + n * self.low) // 8)], bitorder="little")
+        bits = bits[at % 8 : at % 8 + n * self.low].reshape(n, self.low)
+        lows = bits @ (np.int64(1) << np.arange(self.low, dtype=np.int64))
+        return ((ones - np.arange(first, first + n)) << self.low) + lows
+
+    def blocks(self) -> Iterator[np.ndarray]:
+        """All values in order, a block at a time."""
+        return map(self.block, range(len(self.samples)))
+
     def all(self) -> np.ndarray:
         """All values as int64."""
-        bits = np.zeros((self.n, 64), dtype=np.uint8)
-        if self.low:
-            flat = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low]
-            bits[:, : self.low] = flat.reshape(self.n, self.low)
-        lows = np.packbits(bits, axis=1, bitorder="little").view("<u8").ravel()
-        ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        return ((ones - np.arange(self.n)) << self.low) + lows.astype(np.int64)
+        return np.concatenate([np.zeros(0, dtype=np.int64), *self.blocks()])

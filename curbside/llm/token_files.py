@@ -12,7 +12,7 @@ ids less the smallest; Elias-Fano sequence of the boundaries (documents + 1 valu
 the ids.
 
 Defined cases: a null or empty text is its end id alone; rows with one id are all written,
-ordered by text; an empty table gives an empty file.
+ordered by text; a very long text is a segment of its own; an empty table gives an empty file.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain, islice, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from curbside.llm.common import map_batches
-from curbside.llm.elias_fano import Sequence, encode
+from curbside.llm.elias_fano import STEP, Sequence, encode
 from curbside.llm.wordcache import word_tokenizer
 
 END = 2
@@ -79,13 +80,22 @@ class Segment:
     def doc_id(self, i: int) -> int | None:
         return None if i < self.n_unnamed else self.base + self.names.select(i - self.n_unnamed)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.n_unnamed + (self.base + self.names.all()).tolist()
-
     def ids(self, i: int) -> np.ndarray:
         """Ids of document number i, found with two select operations."""
         return self.tokens[self.ends.select(i) : self.ends.select(i + 1)]
 
+    def documents(self) -> Iterator[tuple[list[int | None], np.ndarray]]:
+        """Ids of the documents and their boundaries (one more), by selects of a block of documents
+        at a time: the boundaries of a segment are never expanded as a whole."""
+        unnamed = repeat(None, self.n_unnamed)
+        names = chain(unnamed, chain.from_iterable((self.base + b).tolist() for b in self.names.blocks()))
+        for first in range(0, self.n_docs, STEP):
+            ends = self.ends.block(first // STEP)
+            after = first + len(ends)
+            if after < len(self.ends):
+                ends = np.append(ends, self.ends.select(after))
+            yield list(islice(names, len(ends) - 1)), ends
+
 
 def write_tokens(
     docs: DataFrame,
@@ -130,7 +140,8 @@ def write_tokens(
 
     (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .repartitionByRange("doc_id")
+        # By text too, so that an id of very many rows is dealt to several tasks.
+        .repartitionByRange("doc_id", "text")
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(write, FILES)
         .write.parquet(path)
@@ -149,18 +160,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
             strict=True,
         ):
             part = Segment(data.as_py())
-            ends = part.ends.all()
-            wide = memoryview(part.tokens.astype("<u4").tobytes())
-            yield {
-                "shard": [shard] * part.n_docs,
-                "doc_id": part.doc_ids(),
-                "local": start + ends[:-1],
-                "n_tokens": np.diff(ends),
-                "ids_crc32": [
-                    zlib.crc32(wide[4 * a : 4 * b])
-                    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
-                ],
-            }
+            for names, ends in part.documents():
+                wide = memoryview(part.tokens[ends[0] : ends[-1]].astype("<u4").tobytes())
+                places = (4 * (ends - ends[0])).tolist()
+                yield {
+                    "shard": [shard] * len(names),
+                    "doc_id": names,
+                    "local": start + ends[:-1],
+                    "n_tokens": np.diff(ends),
+                    "ids_crc32": [zlib.crc32(wide[a:b]) for a, b in pairwise(places)],
+                }
 
     decoded = map_batches(
         files.select("shard", "start_in_shard", "segment"),

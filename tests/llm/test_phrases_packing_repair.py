@@ -412,3 +412,41 @@ def test_one_conversation_of_many_equal_and_long_rows(spark):
     damaged = turn_repair.damaged(conversations(spark, rows))
     got = turn_repair.repair_report(damaged, "copies").collect()
     assert {r.conv_id: tuple(r)[1:] for r in got} == {1: brute_repair(brute_damage(rows)[1])}
+
+
+# 7. token files through select
+
+
+def test_documents_of_a_segment_come_by_select(monkeypatch):
+    from curbside.llm import elias_fano, token_files
+
+    pick = np.random.default_rng(3)
+    ids = [pick.integers(0, 70_000, n).astype("<u4") for n in [*pick.integers(1, 40, 1500), 5000, *[1] * 700]]
+    names = [None] * 300 + sorted(pick.integers(-(1 << 40), 1 << 60, len(ids) - 300).tolist())
+    data = token_files.segment_bytes(names, [i.tobytes() for i in ids])
+    monkeypatch.delattr(elias_fano.Sequence, "all")
+    part, at = token_files.Segment(data), 0
+    for docs, ends in part.documents():
+        assert docs == names[at : at + len(docs)] and len(docs) <= elias_fano.STEP
+        assert np.diff(ends).tolist() == [len(i) for i in ids[at : at + len(docs)]]
+        assert part.tokens[ends[0] : ends[-1]].tolist() == np.concatenate(ids[at : at + len(docs)]).tolist()
+        at += len(docs)
+    assert at == len(ids)
+    assert list(token_files.Segment(token_files.segment_bytes([], [])).documents()) == []
+
+
+def test_a_frequent_id_is_dealt_to_several_tasks(spark, tmp_path):
+    from curbside.llm.token_files import FILES, read_tokens, write_tokens
+
+    rows = [(7 if i % 3 == 0 else i, prose(i, 6), "en", "s") for i in range(3000)]
+    path = str(tmp_path / "files")
+    # So small a table would be merged into one task.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_tokens(documents(spark, rows), path, WORD_BPE)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = spark.read.schema(FILES).parquet(path).groupBy("shard").sum("n_docs").collect()
+    assert max(r[1] for r in shards) < 900
+    found = sorted((r.start, r.doc_id) for r in read_tokens(spark, path).collect())
+    assert [d for _, d in found] == sorted(r[0] for r in rows)
