@@ -140,8 +140,9 @@ def write_tokens(
 
     (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        # By text too, so that an id of very many rows is dealt to several tasks.
-        .repartitionByRange("doc_id", "text")
+        # By the start of the text too, so that an id of very many rows is dealt to several tasks;
+        # the sample that finds the ranges holds no more of the texts than that.
+        .repartitionByRange("doc_id", F.substring("text", 1, 16))
         .sortWithinPartitions("doc_id", "text")
         .mapInArrow(write, FILES)
         .write.parquet(path)
