@@ -111,21 +111,28 @@ opaque AS (
       "regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')")}) o
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = o.r AND b.start < o.stop AND o.start < b.stop)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM opaque),
-copied AS (SELECT value FROM every GROUP BY value HAVING count(DISTINCT source) > 2),
-reported AS (
-  SELECT e.*, c.value IS NOT NULL AS is_copied
-  FROM every e LEFT JOIN copied c USING (value) WHERE e.kind <> 'opaque' OR c.value IS NULL),
+held AS (
+  SELECT value, coalesce('of ' || source, '') AS owner, coalesce(doc_id::VARCHAR, '') AS id FROM every),
+owned AS (
+  SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT (owner, id)) AS repositories
+  FROM held GROUP BY value),
+rated AS (
+  SELECT e.*, owners, repositories, owners > 2 OR (owners > 1 AND repositories > 20) AS is_copied
+  FROM every e JOIN owned USING (value)),
+reported AS (SELECT * FROM rated WHERE kind <> 'opaque' OR NOT is_copied),
 counted AS (
   SELECT r,
     count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
     count(*) FILTER (kind = 'hex') AS n_hex,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (kind <> 'opaque') AS base_list,
     string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans,
-    count(*) FILTER (NOT is_copied) AS n_live, count(*) FILTER (is_copied) AS n_copied
+    count(*) FILTER (NOT is_copied) AS n_live, count(*) FILTER (is_copied) AS n_copied,
+    max(owners) AS most_owners, max(repositories) AS most_repositories
   FROM reported GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
   coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_list, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied,
+  coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN counted USING (r)
 """
 

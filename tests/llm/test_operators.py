@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -28,6 +29,7 @@ from curbside.llm.near_dedup import (
     weighted_sets,
 )
 from curbside.llm.packing import packed, piece_lengths
+from curbside.llm.queries import ORACLES
 from curbside.llm.suffix_dedup import repeated_passages
 from curbside.llm.token_counts import CountingVocabulary, sentencepiece_vocabulary, token_counts
 from curbside.llm.token_files import read_tokens, write_tokens
@@ -374,6 +376,46 @@ def test_credentials_of_odd_rows(odd, none):
     assert scan_report(credential_scan(none)).count() == 0
 
 
+def test_owners_and_repositories_of_values(spark):
+    """Null owners and repeated rows; one owner's value stays live in any number of documents."""
+    keys = [f"aB{i}dEfGhIjKlMnOpQrStUvWxYz" for i in range(4)]
+    rows = [(i, f"own {keys[0]}", None, "a") for i in range(30)]
+    rows += [(100 + i, f"mirror {keys[1]}", None, "ab"[i % 2]) for i in range(30)]
+    rows += [(200 + i % 2, f"again {keys[2]}", None, "ab"[i % 2]) for i in range(30)]
+    rows += [(300, keys[3], None, None), (301, keys[3], None, "a"), (302, keys[3], None, "b")]
+    docs = documents(spark, rows)
+    found = scan_report(credential_scan(docs)).collect()
+    held = {(r.doc_id, r.most_owners, r.most_repositories, r.n_live) for r in found}
+    assert held == {(i, 1, 30, 1) for i in range(30)} | {(100 + i, 0, 0, 0) for i in range(30)} | {
+        (200, 2, 2, 1), (201, 2, 2, 1), (300, 0, 0, 0), (301, 0, 0, 0), (302, 0, 0, 0)
+    }
+    con = duckdb.connect()
+    documents_table = docs.toArrow()
+    con.register("documents", documents_table)
+    expected = con.execute(ORACLES["op8_credential_scan"])
+    names = [c[0] for c in expected.description]
+    assert sorted(tuple(r[n] for n in names) for r in found) == sorted(expected.fetchall())
+
+
+def test_redaction_of_overlaps_and_many_spans(spark):
+    """Against a loop over the reported spans; chunk borders, astral characters, 100,000 spans."""
+    pick = random.Random(5)
+    bits = ["token=" + "0af" * 9, "secret: abcdefgh", "AKIA" + "Q7" * 9, "\U0001f600 é ", "x " * 600, "\n"]
+    texts = ["".join(pick.choices(bits, k=pick.randint(0, 40))) for _ in range(60)]
+    texts += ["0af" * 9 + " ", "0af" * 341 + "0", "é" * 1024 + "0af" * 9, ("0af" * 9 + ", ") * 100_000]
+    docs = documents(spark, [(i, t, None, "a") for i, t in enumerate(texts)])
+    spans = {r.doc_id: r.spans for r in scan_report(credential_scan(docs)).collect()}
+    clean = {r.doc_id: r.text for r in redacted(docs).collect()}
+    for i, text in enumerate(texts):
+        out, at = [], 0
+        for a, b in sorted(tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s):
+            if a >= at:
+                out += [text[at:a], "[SECRET]"]
+            at = max(at, b)
+        assert clean[i] == "".join(out) + text[at:]
+    assert spans[63].count(",") == 99_999
+
+
 # 9. token counts
 
 
