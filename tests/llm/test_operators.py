@@ -14,11 +14,11 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from curbside.llm import suffix_dedup
+from curbside.llm import language, suffix_dedup
 from curbside.llm.credential_scan import credential_scan, redacted, scan_report
 from curbside.llm.decontaminate import contamination, decontaminated
 from curbside.llm.elias_fano import Sequence, encode
-from curbside.llm.language import language_ids, training_rows
+from curbside.llm.language import RIDGE, fit, language_ids, training_rows
 from curbside.llm.line_quality import line_quality, quality_filtered
 from curbside.llm.near_dedup import (
     block_links,
@@ -285,6 +285,56 @@ def test_language_learns(spark):
     assert held and np.mean([found[d].lang_pred == lang for d, _, lang in held]) > 0.95
 
 
+def test_languages_of_large_alphabets():
+    """Languages with 1,500 characters of their own each, told apart by few words."""
+    pick = random.Random(3)
+
+    def text(k: int) -> str:
+        return " ".join("".join(chr(0x4E00 + 1500 * k + pick.randrange(1500)) for _ in range(3)) for _ in range(12))
+
+    model = fit([(f"l{k}", text(k)) for k in range(8) for _ in range(60)])
+    tests = [(k, text(k)) for k in range(8) for _ in range(40)]
+    found = model.scores([t for _, t in tests]).argmax(axis=1)
+    assert np.mean(found == np.array([k for k, _ in tests])) > 0.95
+
+
+def test_kernel_and_ridge_against_sets():
+    """Kernels by Python sets; with all texts as landmarks, ridge regression solved on the whole
+    kernel matrix."""
+    texts = [("en" if i % 2 else "x", prose(i, 15) + ("é\u3000Ω" if i % 3 else "")) for i in range(24)]
+    new = [prose(100 + i, 9) for i in range(5)] + ["", "日本"]
+    grams = [
+        {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+        for t in (f" {t.lower()} ".replace("\u3000", " ") for t in [x for _, x in sorted(texts, key=lambda r: r[0])] + new)
+    ]
+    known = set().union(*grams[:24])
+    size = [len(g & known) for g in grams]
+    kernel = np.array([[len(a & b) / max(1, p * q) ** 0.5 for b, q in zip(grams[:24], size[:24], strict=True)] for a, p in zip([g & known for g in grams], size, strict=True)])  # noqa: E501
+    model = fit(texts)
+    ordered = [t for _, t in sorted(texts, key=lambda r: r[0])] + new
+    assert np.allclose(model.spectrum.rows(ordered) @ model.landmarks.T, kernel, atol=1e-5)
+    target = np.where(np.repeat([0, 1], 12)[:, None] == np.arange(2), 1.0, -1.0)
+    dual = np.linalg.solve(kernel[:24] + RIDGE * 24 * np.eye(24), target)
+    assert np.allclose(model.scores(ordered), kernel @ dual, atol=1e-3)
+
+
+def test_language_training_is_bounded(spark, monkeypatch):
+    rows = [(i, prose(i, 20), "en" if i % 3 else "x", "a") for i in range(600)]
+    rows += [(1, prose(1, 20), "en", "a")] * 300
+    docs = documents(spark, rows)
+    order = {t: i for i, (_, t) in enumerate(training_rows(docs, "doc_id", "text", "lang", 600))}
+    some = training_rows(docs, "doc_id", "text", "lang", 30)
+    for lang in ("en", "x"):
+        whole = [t for k, t in training_rows(docs, "doc_id", "text", "lang", 600) if k == lang]
+        assert [t for k, t in some if k == lang] == whole[:30]
+    assert len(order) > 400
+    monkeypatch.setattr(language, "LANGUAGE_BYTES", 500)
+    short = training_rows(docs, "doc_id", "text", "lang", 30)
+    for lang in ("en", "x"):
+        mine = [t for k, t in short if k == lang]
+        assert 1 <= len(mine) < 10 and sum(map(len, mine)) <= 500
+
+
 def test_language_of_odd_rows(odd, none):
     found = {r.doc_id: r for r in language_ids(odd).collect()}
     assert {found[d].lang_pred for d in (1, 2, 3)} == {"und"}
