@@ -6,7 +6,7 @@ benchmark is then looked up in the array by binary search, which gives the place
 occurs word for word. Runs of neighbouring places give the longest verbatim match. Documents
 never leave their task, so nothing is shuffled.
 
-The benchmark is what each task holds. It is loaded in parts of at most ``PART_BYTES`` of text;
+The benchmark is what each task holds. It is loaded in parts of at most ``PART_BYTES`` as built;
 with one part (the usual case) a document is answered where it is read. With more parts each
 part is searched by itself and the places found are united per document. Parts are cut by item,
 whole, so the same windows are searched in both cases.
@@ -33,8 +33,11 @@ from pyspark.sql import types as T
 from curbside.llm.common import map_batches, plain_words, split_runs, transposed, written
 
 WINDOW = 10
-#: Text of the benchmark that one task may hold, in bytes. A part larger than this is never sent.
-PART_BYTES = 32 << 20
+#: Bytes of the arrays and words built of a benchmark part that one task may hold, an upper
+#: estimate: the word numbers of a window, a place and its offset for each word, and each different word.
+PART_BYTES = 128 << 20
+PLACE_BYTES = 16
+WORD_BYTES = 120
 #: Words of a shard. Larger batches are cut into shards of whole documents.
 SHARD_WORDS = 2_000_000
 
@@ -78,21 +81,21 @@ class Benchmark:
             )
             for _, t in items
         ]
-        by_length: dict[int, list[tuple[int, int]]] = {}
-        for i, n in enumerate(numbers):
-            if len(n):
-                size = min(window, len(n))
-                by_length.setdefault(size, []).extend((i, t) for t in range(len(n) - size + 1))
+        sizes = np.array([len(n) for n in numbers], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        words = np.concatenate([*numbers, np.zeros(0, np.int64)]).astype(">u4")
         self.tables = []
-        for size, places in sorted(by_length.items()):
-            rows = np.zeros((len(places), size), dtype=np.int64)
-            for r, (i, t) in enumerate(places):
-                rows[r] = numbers[i][t : t + size]
+        for size in np.unique(np.minimum(sizes[sizes > 0], window)).tolist():
+            held = np.flatnonzero(sizes >= window if size == window else sizes == size)
+            counts = sizes[held] - size + 1
+            item, at = np.repeat(held, counts), split_runs(counts)
+            rows = np.lib.stride_tricks.sliding_window_view(words, size)[starts[item] + at]
             keys, group = np.unique(as_keys(rows), return_inverse=True)
             order = np.argsort(group, kind="stable")
-            where = np.array(places, dtype=np.int64)[order]
             first = np.searchsorted(group[order], np.arange(len(keys) + 1))
-            self.tables.append(Windows(size, keys, first, where[:, 0], where[:, 1]))
+            self.tables.append(
+                Windows(size, keys, first, item[order].astype(np.int32), at[order].astype(np.int32))
+            )
 
     def search(self, tokens: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, Windows]]:
         """(length, word position, window number, table) of every occurrence in a shard.
@@ -198,16 +201,21 @@ def verdict_row(n: int, spans: np.ndarray, longest: int, names: list[str]) -> tu
 
 
 def benchmark_parts(benchmark: DataFrame, item: str, text: str, window: int, limit: int):
-    """The benchmark in parts of at most ``limit`` bytes of text. One item above the limit is a
+    """The benchmark in parts of at most ``limit`` bytes as built. One item above the limit is a
     part by itself. At most two parts at a time are on the driver."""
     items = benchmark.select(F.col(item).cast("string").alias("i"), F.col(text).alias("t"))
-    held, part = 0, []
+    held, part, known = 0, [], set()
     for row in items.toLocalIterator():
-        size = len((row.t or "").encode())
+        words = plain_words(row.t)
+        new = set(words) - known
+        size = (4 * window + PLACE_BYTES) * len(words) + sum(WORD_BYTES + len(w) for w in new)
         if part and held + size > limit:
             yield Benchmark(part, window)
-            held, part = 0, []
+            held, part, known = 0, [], set()
+            size = (4 * window + PLACE_BYTES) * len(words) + sum(WORD_BYTES + len(w) for w in set(words))
+            new = set(words)
         part.append((row.i, row.t))
+        known |= new
         held += size
     yield Benchmark(part, window)
 

@@ -10,10 +10,10 @@
 3. Registers of both kinds are hashed in bands of one bucket space. In each bucket, texts are compared with the first one, then
    linked texts are joined to components; buckets that still hold texts of several components
    are compared in blocks, which yields links only, never pairs.
-4. A link needs a similarity of 0.8: the exact probability Jaccard or set Jaccard, from texts.
+4. A link needs an exact set Jaccard similarity of 0.8, from texts. Counts rank candidates only: a
+   line that two different texts repeat often makes them alike by weight, but no link.
 
-With 24 bands of four registers a pair at 0.8, by either similarity, is missed with probability
-3e-6.
+With 24 bands of four registers a pair at 0.8 is missed with probability 3e-6.
 
 Defined cases: fewer than five words are one shingle; a text without words (null, empty) is a
 class by itself; repeated rows are one class; of a class the smallest doc_id stays (a null id
@@ -115,8 +115,8 @@ def bands_of(registers: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def buckets_of(sets: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> list[np.ndarray]:
     """Distinct buckets of each weighted set: those of its counts and, where a count is above 1,
-    also those of the plain set. A link may rest on either similarity, and neither kind of band
-    finds the pairs of the other."""
+    also those of the plain set: a link rests on set Jaccard, and unequal counts may hide such a
+    pair from the bands of the counts."""
     out = list(bands_of(prob_minhash(sets, bands * rows), bands, rows).view(np.int64))
     repeated = [i for i, (_, w) in enumerate(sets) if len(w) and w.max() > 1]
     plain = [(sets[i][0], np.ones_like(sets[i][1])) for i in repeated]
@@ -127,21 +127,9 @@ def buckets_of(sets: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The larger of set Jaccard and probability Jaccard of two weighted sets."""
-    (x, u), (y, v) = a, b
-    common, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    if not len(common):
-        return 0.0
-    plain = len(common) / (len(x) + len(y) - len(common))
-    if plain >= SIMILARITY or (u.max() == 1 and v.max() == 1):
-        return plain
-    p, q = u[i].astype(float), v[j].astype(float)
-    order = np.argsort(p / q, kind="stable")
-    p, q = p[order], q[order]
-    only_a, only_b = u.sum() - p.sum(), v.sum() - q.sum()
-    above = np.cumsum(p[::-1])[::-1]  # of elements with this ratio or a larger one
-    below = np.cumsum(q) - q
-    return max(plain, float((1 / ((above + only_a) / p + (below + only_b) / q)).sum()))
+    """Set Jaccard of the shingles of two weighted sets."""
+    common = len(np.intersect1d(a[0], b[0], assume_unique=True))
+    return common / (len(a[0]) + len(b[0]) - common) if common else 0.0
 
 
 def signatures(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
@@ -386,14 +374,11 @@ def block_links(
         part[rows[a:b], columns[a:b] - start] = 1
         common += part @ part.T
     union = sizes[:, None] + sizes[None, :] - common
-    repeated = np.array([w.max() > 1 for _, w in sets])
     label = np.array(labels)
     open_pair = label[:, None] != label[None, :]
     if not one_block:
         open_pair &= left[:, None] != left[None, :]
-    likely = (common >= threshold * union) | (
-        (repeated[:, None] | repeated[None, :]) & (common > 0)
-    )
+    likely = common >= (threshold - 1e-6) * union
     parent = {x: x for x in labels}
 
     def root(x: int) -> int:

@@ -1,7 +1,8 @@
 """Token ids of whole texts with a vocabulary file, word by word.
 
-The tokenizer's normaliser turns white space into single spaces and its pre-tokenizer drops
-them, so no token crosses white space and the ids of a text are those of its words in turn.
+Where a tokenizer's normaliser turns white space into single spaces and its pre-tokenizer drops
+them (``RULES``), no token crosses white space and the ids of a text are those of its words in
+turn. Texts go whole through a tokenizer with other rules.
 Words repeat, so each task keeps the ids of the words it has met. The ids always come from the
 tokenizers library: a word of plain letters goes to the file's model at once, in the byte
 alphabet of that model; any other word goes through the whole tokenizer.
@@ -9,6 +10,7 @@ alphabet of that model; any other word goes through the whole tokenizer.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -22,6 +24,34 @@ KEPT_WORDS = 400_000
 KEPT_LENGTH = 48
 
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Rules of the files whose texts can be taken word by word.
+RULES = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [
+            {"type": "NFC"},
+            {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+            {"type": "Lowercase"},
+        ],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split",
+                "pattern": {
+                    "Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+                },
+                "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
 #: Information separators: white space for Python's split, not for the tokenizer.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -34,6 +64,21 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def by_words(path: str) -> bool:
+    """Whether a tokenizer file has the rules of this module; its added tokens must neither hold
+    white space nor be plain words."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    added = [t["content"] for t in held.get("added_tokens") or []]
+    stripped = any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in held.get("added_tokens") or [])
+    return (
+        all(held.get(name) == rule for name, rule in RULES.items())
+        and held["model"].get("type", "BPE") == "BPE"
+        and not stripped
+        and all(t.startswith("<|") and not re.search(r"\s", t) for t in added)
+    )
+
+
 class WordTokenizer:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -42,6 +87,7 @@ class WordTokenizer:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = False
         self.model = self.whole.model
+        self.by_words = by_words(path)
         self.alphabet = byte_alphabet()
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -52,7 +98,7 @@ class WordTokenizer:
 
     def id_bytes(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if any(s in text for s in SEPARATORS):
+        if not self.by_words or any(s in text for s in SEPARATORS):
             return self._whole(text)
         words = text.split()
         found = list(map(self.words.get, words))

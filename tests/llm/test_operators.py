@@ -394,6 +394,13 @@ def test_word_tokenizer_equals_the_library():
         assert mine.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
 
 
+def test_other_tokenizer_files_are_used_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine, whole = WordTokenizer(path), Tokenizer.from_file(path)
+    for t in ["Hello World again", "  two  spaces\n", "", prose(1, 50)]:
+        assert mine.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids
+
+
 # 8. credentials
 
 
@@ -574,7 +581,41 @@ def test_similarity_is_exact():
         a, b = (np.sort(pick.choice(60, 40, replace=False)).astype(np.uint64) for _ in range(2))
         u, v = pick.integers(1, 6, 40), pick.integers(1, 6, 40)
         plain = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        assert similarity((a, u), (b, v)) == pytest.approx(max(plain, exact_jaccard((a, u), (b, v))))
+        assert similarity((a, u), (b, v)) == pytest.approx(plain)
+
+
+def test_a_line_repeated_in_different_texts_is_no_link(spark):
+    line = " ".join([prose(7, 20)] * 100)
+    rows = [(i, f"{prose(100 + i, 104)} {line}") for i in range(6)]
+    found = near_duplicates(documents(spark, rows)).collect()
+    assert all(r.kept and r.class_id == r.doc_id for r in found)
+
+
+def test_recall_on_documents(spark):
+    """Classes of all documents of sf0.01 are those of all pairs with a set Jaccard of 0.8."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = {r.doc_id: r.class_id for r in near_duplicates(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    parent = {r.doc_id: r.doc_id for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    items = [(len(s[0]), r.doc_id, s) for r, (_, s) in zip(rows, weighted_sets([r.text for r in rows]), strict=True)]
+    items.sort(key=lambda x: x[:2])
+    links = 0
+    for i, (n, d, s) in enumerate(items):
+        for m, e, t in items[i + 1 :]:
+            if 0.8 * m > n:
+                break
+            if n and similarity(s, t) >= 0.8:
+                links += 1
+                a, b = sorted((root(d), root(e)))
+                parent[b] = a
+    assert links > 50
+    assert found == {d: root(d) for d in parent}
 
 
 def test_blocks_find_links_between_components():
