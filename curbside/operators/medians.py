@@ -38,8 +38,8 @@ BUCKETS = 1024
 # Buckets of a range cut by magnitude, for each factor of two.
 OCTAVE = 128
 # Values up to which a sketch is exact, and the share of a group's rows that its bracket reaches to either side of
-# the middle: more than three times the error that the sketch states for its size.
-SKETCH = 1024
+# the middle: more than ten times the error that the sketch states for its size.
+SKETCH = 4096
 REACH = 0.01
 
 

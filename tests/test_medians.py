@@ -38,7 +38,7 @@ def skewed(n, seed):
 )
 def test_exact_at_any_group_size(spark, monkeypatch, limit, buckets):
     monkeypatch.setattr(medians, "BUCKETS", buckets)
-    rows = skewed(1500, seed=limit)
+    rows = skewed(6500, seed=limit)
     df = spark.createDataFrame(rows, "k string, x double, y double, z double")
     result = grouped(
         df,
@@ -96,7 +96,7 @@ def test_rows_of_large_groups_are_scanned_twice(spark, limit):
 
 
 def test_keyless_rows_are_scanned_twice(spark):
-    rows = [(float(i % 977),) for i in range(2000)]
+    rows = [(float(i % 977),) for i in range(2 * medians.SKETCH)]
     df, read = counting(spark, rows, "x double")
     assert grouped(df, [], [], {"m": F.col("x")}).first().m == statistics.median(r[0] for r in rows)
     assert read.value == 2 * len(rows)
