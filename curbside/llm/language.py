@@ -136,12 +136,14 @@ def training_rows(
         F.col(doc_id).cast("long").alias("id"), F.col(lang).cast("string").alias("lang"),
         F.col(text).alias("text"),
     ).withColumn("hash", F.xxhash64("id"))
+    # One row for each class of the model, which every task holds too: a proven small side. A join
+    # by language would deal all rows of a language to one task.
     known = source.groupBy("lang").agg(F.approx_count_distinct("id").alias("ids"))
     share = F.col("hash") / F.lit(2.0**64) + 0.5
     order = W.partitionBy("lang").orderBy("hash", "id")
     chosen = (
         source.select("id", "lang", "hash", F.octet_length("text").alias("size"))
-        .join(known, "lang")
+        .join(F.broadcast(known), "lang")
         .filter(share * F.col("ids") <= SPARE * per_language)
         .groupBy("id", "lang", "hash")
         .agg(F.max("size").alias("size"))
