@@ -27,7 +27,7 @@ their last two words over; an empty table gives no row; other columns are ignore
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,7 +79,8 @@ def split_text(text: str | None) -> Iterator[list[bytes]]:
             words += piece.split()
             words.append(STOP)
         words += last.split()
-        if stop == len(data) or data[stop] == 0x0A:
+        # What is left may be one blank only; the last piece ends here all the same.
+        if stop >= len(data) - 1 or data[stop] == 0x0A:
             words.append(STOP)
         yield words
         start = stop + 1
@@ -145,29 +146,40 @@ def runs(words: list[bytes], lang: str, parts: int) -> Iterator[tuple]:
             start = end
 
 
+def blocks(
+    texts: Iterable[tuple[str, str | None]], limit: int = BLOCK_WORDS
+) -> Iterator[tuple[str, list[bytes]]]:
+    """Words of (lang, text) rows in blocks of about ``limit`` words. Every gram of a language starts
+    in one of its blocks, at a word but the last two."""
+    held: dict[str, list[bytes]] = {}
+    total = 0
+    for lang, text in texts:
+        for words in split_text(text):
+            held.setdefault(lang, []).extend(words)
+            total += len(words)
+            if total >= limit:
+                # Only a piece that goes on needs its last two words again; it starts no gram yet.
+                goes_on = held[lang][-1:] not in ([], [STOP])
+                rest = held[lang][-2:] if goes_on else []
+                for name, block in held.items():
+                    yield name, block if goes_on and name == lang else [*block, STOP, STOP]
+                held, total = {lang: rest}, len(rest)
+    for name, block in held.items():
+        yield name, [*block, STOP, STOP]
+
+
 def gram_runs(docs: DataFrame, parts: int) -> DataFrame:
     """Runs of grams of (lang, text) rows."""
     names = [c.split()[0] for c in RUNS.split(", ")]
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        held: dict[str, list[bytes]] = {}
-        total = 0
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str | None]]:
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                lang = lang.as_py()
-                for words in split_text(text.as_py()):
-                    held.setdefault(lang, []).extend(words)
-                    total += len(words)
-                    if total >= BLOCK_WORDS:
-                        for name, block in held.items():
-                            yield from runs(block, name, parts)
-                        # Only a piece that goes on needs its last two words again.
-                        held = {lang: held[lang][-2:]}
-                        total = 2
-                        if held[lang][-1:] == [STOP]:
-                            held[lang] = []
-        for name, block in held.items():
-            yield from runs([*block, STOP, STOP], name, parts)
+                yield lang.as_py(), text.as_py()
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for lang, block in blocks(texts(batches)):
+            yield from runs(block, lang, parts)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in make(batches):

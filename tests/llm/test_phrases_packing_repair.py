@@ -116,6 +116,42 @@ def test_small_blocks_carry_words_over(spark, monkeypatch):
     assert counted == expected
 
 
+def block_counts(rows, limit):
+    counted = defaultdict(Counter)
+    texts = ((lang or "und", text) for _, text, lang, *_ in rows)
+    for lang, block in collocations.blocks(texts, limit):
+        for codes, n, table in collocations.aggregated(block):
+            names = table.to_pylist()
+            for *gram, c in zip(*codes, n.tolist(), strict=True):
+                counted[lang][b" ".join(names[g] for g in gram)] += c
+    return counted
+
+
+@pytest.mark.parametrize("limit", [1, 5, 60, 10**6])
+@pytest.mark.parametrize("size", [7, 1 << 20])
+def test_full_blocks_count_the_last_words_of_pieces(monkeypatch, limit, size):
+    monkeypatch.setattr(collocations, "BLOCK_BYTES", size)
+    langs = ("en", None, "de")
+    rows = [(i, few_words(i, 40 + i) + " ." * (i % 2), langs[i % 3], "s") for i in range(12)]
+    rows += [(20 + i, end, langs[i % 3], "s") for i, end in enumerate(["a bc def ", "abcdefg\t", "abcdefg \t", " ", "z"])]
+    rows += [(30, "       a       b c .", "en", "s"), (31, None, "en", "s"), (32, "x y z " * 40, "de", "s")]
+    expected = defaultdict(Counter)
+    for _, text, lang, *_ in rows:
+        lower = re.sub("[A-Z]+", lambda m: m[0].lower(), text or "")
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", lower):
+            words = [w.encode() for w in re.split(r"[ \t]+", piece) if w]
+            for k in (1, 2, 3):
+                for at in range(len(words) - k + 1):
+                    expected[lang or "und"][b" ".join(words[at : at + k])] += 1
+    assert block_counts(rows, limit) == expected
+
+
+def test_phrases_of_more_than_one_block_of_words(spark):
+    rows = [(i, f"the end of part {i % 1500}. so it is", ("en", "de")[i % 2], "s") for i in range(120_000)]
+    assert 8 * len(rows) < collocations.BLOCK_WORDS < 11 * len(rows)
+    assert phrases(documents(spark, rows).coalesce(1)) == brute_phrases(rows)
+
+
 def test_paths_are_maximal_and_hold_every_edge_once(spark):
     boiler = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join(boiler), "en", "s") for i in range(12)]
