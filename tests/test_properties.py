@@ -6,7 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbside.plans import market, quality
+from curbside.plans.aggregates import all_tables
 from curbside.registry import SCOPE, source
+from curbside.scope import AGGREGATE_TABLES
+from curbside.study import ExportingStudy
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +63,16 @@ def test_unknown_licence_is_kept(src):
 
 def test_dispatch_excludes_the_one_way_airport(src):
     assert src.study.airport_names == ["JFK", "LGA"]
+
+
+def test_a_table_is_exported_with_those_of_its_scans_only(spark, src, tmp_path):
+    base = tmp_path / "tables"
+    study = ExportingStudy(spark, str(base), src.trips, SCOPE)
+    study.quality.collect(), study.share.collect()
+    assert {p.name for p in base.iterdir()} == {"coverage_timeline", "data_quality", "market_share"}
+    assert study.incentive.count() == study.kpis.count()
+    assert {p.name for p in base.iterdir()} == set(AGGREGATE_TABLES) - {"hourly_profile"}
+    whole = all_tables(src.trips)
+    assert list(study.tables) == list(whole)
+    for name in ("coverage_timeline", "data_quality", "market_share"):
+        assert sorted(map(str, study.table(name).collect())) == sorted(map(str, whole[name].collect()))
