@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from curbside.plans import market, quality
 from curbside.plans.aggregates import all_tables
-from curbside.registry import SCOPE, source
+from curbside.registry import SCOPE, Source, source
 from curbside.scope import AGGREGATE_TABLES
+from curbside.sources.files import raw_months, raw_path
+from curbside.sources.trips import read_raw
 from curbside.study import ExportingStudy
 
 
@@ -76,3 +80,15 @@ def test_a_table_is_exported_with_those_of_its_scans_only(spark, src, tmp_path):
     assert list(study.tables) == list(whole)
     for name in ("coverage_timeline", "data_quality", "market_share"):
         assert sorted(map(str, study.table(name).collect())) == sorted(map(str, whole[name].collect()))
+
+
+def test_monthly_files_are_dealt_before_trips_are_computed(spark, src):
+    fresh = Source(spark, "/root/testdata/sf0.001")
+    months = read_raw(spark, [raw_path(fresh.monthly, ym) for ym in raw_months(spark, fresh.monthly)])
+    assert not Path(fresh.folder, "raw").exists()  # nothing is landed that is not read
+    assert months.exceptAll(src.raw).isEmpty() and src.raw.exceptAll(months).isEmpty()
+    plan = fresh.raw_by_month._jdf.queryExecution().optimizedPlan().toString()
+    dealt = plan[plan.index("RebalancePartitions") :]
+    assert "l_shipdate" in dealt and "base_passenger_fare" not in dealt
+    assert not fresh.refreshed.startswith(f"{fresh.folder}/built")
+    assert not Path(fresh.folder, "built").exists()  # a refresh builds its own archive only
