@@ -44,7 +44,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from curbside.llm.bytehash import fingerprints, prefix_sums
-from curbside.llm.common import scratch, text_bytes, utf8, written
+from curbside.llm.common import scratch, split_runs, text_bytes, utf8, written
 
 LENGTH = 50
 #: A perfect difference cover of the residues modulo 21.
@@ -122,13 +122,16 @@ class Block:
         self.data = np.frombuffer(data, np.uint8)
         self.ends = np.cumsum(self.sizes)
         self.starts = self.ends - self.sizes
+        #: Ids without repetition and each row's number among them: rows with one id are one document.
+        self.named, self.number = np.unique(self.ids, return_inverse=True)
         self.sums = prefix_sums(self.data)
 
     def first_copies(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct digests and the first document that has each."""
         if not self.sources.any():
             return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return first_of_each(self.digests[self.sources], self.ids[self.sources])[:2]
+        distinct, first, _, _ = first_of_each(self.digests[self.sources], self.number[self.sources])
+        return distinct, self.named[first]
 
     def drop_copies(self, earlier: np.ndarray) -> np.ndarray:
         """Documents that are copies of earlier ones, here or (``earlier``, by distinct digest)
@@ -144,14 +147,12 @@ class Block:
 
     def sampled(self) -> np.ndarray:
         """Sampled places whose tuple lies in a document long enough and with an id."""
-        out = []
-        for start, size, source in zip(
-            self.starts.tolist(), self.sizes.tolist(), self.sources.tolist(), strict=True
-        ):
-            if source:
-                places = (np.arange(0, size, PERIOD)[:, None] + np.array(COVER)).ravel()
-                out.append(start + places[places <= size - TUPLE])
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        sizes = self.sizes[self.sources]
+        if not len(sizes):
+            return np.zeros(0, np.int64)
+        places = (np.arange(0, sizes.max(), PERIOD)[:, None] + np.array(COVER)).ravel()
+        counts = np.searchsorted(places, sizes - TUPLE, "right")
+        return places[split_runs(counts)] + np.repeat(self.starts[self.sources], counts)
 
     def tuple_names(self, places: np.ndarray, bits: int) -> np.ndarray:
         return fingerprints(self.sums, places, places + TUPLE) >> np.uint64(64 - bits)
@@ -159,26 +160,34 @@ class Block:
     def candidates(self, repeated: np.ndarray) -> np.ndarray:
         """Starts of 50-byte strings with a repeated sampled place in their first 21 bytes."""
         edge = np.zeros(len(self.data) + 1, dtype=np.int32)
-        doc = np.searchsorted(self.ends, repeated, "right")
-        np.add.at(edge, np.maximum(repeated - PERIOD + 1, self.starts[doc]), 1)
+        np.add.at(edge, np.maximum(repeated - PERIOD + 1, self.of_rows(self.starts, repeated)), 1)
         np.add.at(edge, repeated + 1, -1)
-        places = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-        doc = np.searchsorted(self.ends, places, "right")
-        return places[places + LENGTH <= self.ends[doc]]
+        places = np.flatnonzero(np.cumsum(edge[:-1], dtype=np.int32) > 0)
+        return places[places + LENGTH <= self.of_rows(self.ends, places)]
 
-    def doc_of(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, places, "right")
+    def of_rows(self, values: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The values of the rows that hold the places, which are ascending."""
+        return np.repeat(values, np.diff(np.searchsorted(places, self.ends), prepend=0))
 
 
-def first_of_each(names: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct names ascending, the first document of each, and whether a later one has it.
-    Documents are given in ascending order."""
-    order = np.argsort(names, kind="stable")
+def first_of_each(
+    names: np.ndarray, docs: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct names ascending, the first document of each, whether a later one has it, and
+    where among the distinct names each name is."""
+    order = np.argsort(names)
     names, docs = names[order], docs[order]
     new = np.concatenate([[True], names[1:] != names[:-1]])
     at = np.flatnonzero(new)
-    last = np.append(at[1:], len(names)) - 1
-    return names[at], docs[at], docs[last] != docs[at]
+    first = np.minimum.reduceat(docs, at)
+    where = np.empty(len(names), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return names[at], first, np.maximum.reduceat(docs, at) != first, where
+
+
+def distinct_sorted(names: np.ndarray) -> np.ndarray:
+    names = np.sort(names)
+    return names[np.concatenate([[True], names[1:] != names[:-1]])] if len(names) else names
 
 
 def ranges(names: np.ndarray, bits: int, parts: int) -> np.ndarray:
@@ -239,10 +248,13 @@ def store_blocks(spark: SparkSession, blocks: DataFrame, buckets: int) -> DataFr
     return spark.table(table)
 
 
-def pack_docs(ids: np.ndarray) -> bytes:
-    """Document ids of names: the distinct ids, then each name's number among them."""
-    distinct, index = np.unique(ids, return_inverse=True)
-    head = squeeze(distinct.view(np.uint64))
+def pack_docs(docs: np.ndarray, ids: np.ndarray) -> bytes:
+    """Document ids of names, given by number among ascending ``ids``: the distinct ids, then each
+    name's number among them."""
+    held = np.zeros(len(ids), dtype=bool)
+    held[docs] = True
+    head = squeeze(ids[held].view(np.uint64))
+    index = (np.cumsum(held) - 1)[docs]
     return len(head).to_bytes(8, "little") + head + squeeze(index.astype(np.uint64))
 
 
@@ -252,8 +264,15 @@ def unpack_docs(data: bytes) -> np.ndarray:
     return distinct[unsqueeze(data[8 + n :]).astype(np.int64)]
 
 
-def sent(block: int, names: np.ndarray, docs: np.ndarray | None, bits: int, parts: int) -> pa.Table:
-    """Rows of NAMES: the ascending names of a block by range, with their documents if given."""
+def sent(
+    block: int,
+    names: np.ndarray,
+    docs: tuple[np.ndarray, np.ndarray] | None,
+    bits: int,
+    parts: int,
+) -> pa.Table:
+    """Rows of NAMES: the ascending names of a block by range, with their documents (numbers among
+    ids, and the ids) if given."""
     cuts = ranges(names, bits, parts).tolist()
     full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
     return pa.table(
@@ -262,7 +281,8 @@ def sent(block: int, names: np.ndarray, docs: np.ndarray | None, bits: int, part
             "part": pa.array([p for p, _, _ in full], pa.int32()),
             "names": pa.array([squeeze(deltas(names[a:b])) for _, a, b in full], pa.binary()),
             "docs": pa.array(
-                [b"" if docs is None else pack_docs(docs[a:b]) for _, a, b in full], pa.binary()
+                [b"" if docs is None else pack_docs(docs[0][a:b], docs[1]) for _, a, b in full],
+                pa.binary(),
             ),
         }
     )
@@ -289,7 +309,7 @@ def matched(level: int):
         lists = [sums(unsqueeze(x)) for x in group["names"].to_pylist()]
         sizes = np.array([len(x) for x in lists])
         names = np.concatenate(lists)
-        order = np.argsort(names, kind="stable")
+        order = np.argsort(names)
         ranked = names[order]
         start = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         run = np.diff(np.append(start, len(ranked)))
@@ -330,54 +350,59 @@ class Plan:
         return block, block.drop_copies(earlier)
 
     def tuples(self, block: Block) -> tuple:
-        """Sampled places, their names, the distinct names and whether several documents here
-        have them."""
+        """Sampled places, the distinct names, whether several documents here have them, and which
+        name each place has."""
         places = block.sampled()
         names = block.tuple_names(places, self.bits)
         if not len(names):
-            return places, names, names, np.zeros(0, dtype=bool)
-        return places, names, *first_of_each(names, block.ids[block.doc_of(places)])[::2]
+            return places, names, np.zeros(0, dtype=bool), places
+        distinct, _, several, where = first_of_each(names, block.of_rows(block.number, places))
+        return places, distinct, several, where
 
     def prefixes(self, block: Block, replies: pa.Table) -> tuple:
-        """Candidate starts, their 64-bit names, the distinct names and first documents."""
-        places, names, distinct, several = self.tuples(block)
+        """Candidate starts, the distinct 64-bit names of their strings, the numbers of the first
+        documents, and which name each start has and of which document it is."""
+        places, distinct, several, where = self.tuples(block)
         known = several | replied(replies, 1, distinct, self.bits, self.parts)
-        repeated = places[known[np.searchsorted(distinct, names)]] if len(names) else places
-        starts = block.candidates(repeated)
+        starts = block.candidates(places[known[where]])
         names = fingerprints(block.sums, starts, starts + LENGTH)
+        docs = block.of_rows(block.number, starts)
         if not len(names):
-            return starts, names, names, np.zeros(0, np.int64)
-        return starts, names, *first_of_each(names, block.ids[block.doc_of(starts)])[:2]
+            return starts, names, docs, docs, docs
+        distinct, first, _, where = first_of_each(names, docs)
+        return starts, distinct, first, where, docs
 
     def send_digests(self, blocks: pa.Table) -> pa.Table:
         block = Block(*(blocks[c][0].as_py() for c in BLOCKS.names[1:-1]))
-        return sent(blocks["block"][0].as_py(), *block.first_copies(), 64, self.parts)
+        distinct, first = block.first_copies()
+        docs = np.searchsorted(block.named, first), block.named
+        return sent(blocks["block"][0].as_py(), distinct, docs, 64, self.parts)
 
     def send_tuples(self, blocks: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(blocks):
             return sent(0, np.zeros(0, np.uint64), None, 64, self.parts)
-        distinct = self.tuples(self.read(blocks, replies)[0])[2]
+        block = self.read(blocks, replies)[0]
+        distinct = distinct_sorted(block.tuple_names(block.sampled(), self.bits))
         return sent(blocks["block"][0].as_py(), distinct, None, self.bits, self.parts)
 
     def send_prefixes(self, blocks: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(blocks):
             return sent(0, np.zeros(0, np.uint64), None, 64, self.parts)
-        _, _, distinct, docs = self.prefixes(self.read(blocks, replies)[0], replies)
-        return sent(blocks["block"][0].as_py(), distinct, docs, 64, self.parts)
+        block = self.read(blocks, replies)[0]
+        _, distinct, first, _, _ = self.prefixes(block, replies)
+        return sent(blocks["block"][0].as_py(), distinct, (first, block.named), 64, self.parts)
 
     def remove(self, blocks: pa.Table, replies: pa.Table) -> pa.Table:
         rows: list[tuple] = []
         if len(blocks):
             block, copies = self.read(blocks, replies)
-            starts, names, distinct, first = self.prefixes(block, replies)
+            starts, distinct, first, where, docs = self.prefixes(block, replies)
             earlier = replied(replies, 2, distinct, 64, self.parts)
             edge = np.zeros(len(block.data) + 1, dtype=np.int32)
-            if len(starts):
-                at = np.searchsorted(distinct, names)
-                gone = starts[earlier[at] | (block.ids[block.doc_of(starts)] > first[at])]
-                edge[gone] += 1
-                edge[gone + LENGTH] -= 1
-            removed = np.cumsum(edge[:-1]) > 0
+            gone = starts[earlier[where] | (docs > first[where])]
+            edge[gone] += 1
+            edge[gone + LENGTH] -= 1
+            removed = np.cumsum(edge[:-1], dtype=np.int32) > 0
             removed |= np.repeat(copies, block.sizes)
             rows = removed_rows(block, removed) * len(blocks)
         schema = OUT_ARROW
@@ -389,16 +414,20 @@ class Plan:
 
 def removed_rows(block: Block, removed: np.ndarray) -> list[tuple]:
     rows = []
-    for i, (start, end) in enumerate(zip(block.starts.tolist(), block.ends.tolist(), strict=True)):
-        cut = removed[start:end]
-        data = block.data[start:end]
-        spans = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
-        n = int(cut.sum())
-        kept = data[~cut] if n else data
+    none = np.zeros(0, np.int64)
+    counts = np.diff(np.searchsorted(np.flatnonzero(removed), block.ends), prepend=0).tolist()
+    for i, (start, end, n) in enumerate(
+        zip(block.starts.tolist(), block.ends.tolist(), counts, strict=True)
+    ):
+        data, spans, kept = block.data[start:end], none, block.data[start:end]
+        if n:
+            cut = removed[start:end]
+            spans = np.flatnonzero(np.diff(np.concatenate([[0], cut.view(np.int8), [0]])))
+            kept = data[~cut]
         rows.append(
             (
                 int(block.ids[i]) if block.known[i] else None, len(data), n, len(spans) // 2,
-                hashlib.sha256(kept.tobytes()).hexdigest(), spans.tolist(),
+                hashlib.sha256(kept).hexdigest(), spans.tolist(),
             )
         )
     return rows

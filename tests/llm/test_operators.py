@@ -11,6 +11,7 @@ from collections import defaultdict
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
@@ -107,6 +108,28 @@ def test_passages_of_odd_rows(odd, none):
     assert repeated_passages(none).count() == 0
 
 
+def test_passages_look_up_rows_not_places(monkeypatch):
+    """Steps on a block look up its rows and ranges by binary search, never each place of a text."""
+    rows = [(i // 2, prose(i % 7, 3000).encode() + prose(50 + i, 300).encode()) for i in range(20)]
+    ids, texts = np.array([i for i, _ in rows]), [t for _, t in rows]
+    sizes, known = np.array([len(t) for t in texts]), np.ones(len(rows), np.uint8)
+    digests = b"".join(hashlib.blake2b(t, digest_size=8).digest() for t in texts)
+    values = [1, ids.tobytes(), known.tobytes(), sizes.tobytes(), digests, b"".join(texts)]
+    names = suffix_dedup.BLOCKS.names
+    block = pa.table({c: [v] for c, v in zip(names, values, strict=True)})
+    plan, needles, search = suffix_dedup.Plan(int(sizes.sum())), [], np.searchsorted
+    monkeypatch.setattr(
+        np, "searchsorted", lambda a, v, *more, **named: needles.append(np.size(v)) or search(a, v, *more, **named)
+    )
+    answers = suffix_dedup.matched(0)(plan.send_digests(block.select(names[:-1])))
+    for step, level in ((plan.send_tuples, 1), (plan.send_prefixes, 2)):
+        answers = pa.concat_tables([answers, suffix_dedup.matched(level)(step(block, answers))])
+    found = plan.remove(block, answers).drop_columns("removed").to_pylist()
+    assert max(needles) <= len(rows)
+    texts = [(i, t.decode()) for i, t in rows]
+    assert sorted((tuple(r.values()) for r in found), key=str) == brute_passages(texts)
+
+
 # 2. decontamination
 
 
