@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbside.plans import market, quality
-from curbside.plans.aggregates import all_tables
-from curbside.registry import SCOPE, Source, source
+from curbside.plans.aggregates import TRIP_COLUMNS, all_tables
+from curbside.registry import SCOPE, Source, neat, source
 from curbside.scope import AGGREGATE_TABLES
 from curbside.sources.files import raw_months, raw_path
+from curbside.sources.landing import METHOD_LIMIT
 from curbside.sources.trips import read_raw
 from curbside.study import ExportingStudy
 
@@ -82,6 +83,20 @@ def test_a_table_is_exported_with_those_of_its_scans_only(spark, src, tmp_path):
         assert sorted(map(str, study.table(name).collect())) == sorted(map(str, whole[name].collect()))
 
 
+def test_a_study_lands_only_the_columns_of_its_tables(spark, src):
+    limit = spark.conf.get(METHOD_LIMIT)
+    fresh = Source(spark, "/root/testdata/sf0.001")
+    tables = fresh.study.tables
+    assert not Path(fresh.folder, "raw").exists()  # no raw file is written that nothing reads
+    assert spark.read.parquet(f"{fresh.folder}/narrow").columns == TRIP_COLUMNS
+    assert spark.conf.get(METHOD_LIMIT) == limit
+    for name, whole in all_tables(src.trips).items():
+        assert sorted(map(str, neat(tables[name]).collect())) == sorted(map(str, neat(whole).collect()))
+    other = Source(spark, "/root/testdata/sf0.001")
+    assert other.raw.count() and other.study.quality.count()
+    assert not Path(other.folder, "narrow").exists()  # raw files that are there already are scanned
+
+
 def test_monthly_files_are_dealt_before_trips_are_computed(spark, src):
     fresh = Source(spark, "/root/testdata/sf0.001")
     months = read_raw(spark, [raw_path(fresh.monthly, ym) for ym in raw_months(spark, fresh.monthly)])
